@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, simhash, suffix_array
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "quality_ablation": quality_ablation,
+        "op4_decontamination": op4_decontamination,
         "op6_simhash": op6_simhash,
+        "op7_suffix_array": op7_suffix_array,
     }
 
 
@@ -41,4 +51,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.policies_sql(),
         "quality_ablation": quality_rules.ablation_sql(),
+        "op4_decontamination": decontaminate.contaminated_sql(),
+        "op7_suffix_array": suffix_array.runs_sql(),
     }
