@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules, simhash, suffix_array
+from . import bpe, decontaminate, quality_rules, simhash, suffix_array
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.repeated_passages(_t(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op6_simhash": op6_simhash,
         "op7_suffix_array": op7_suffix_array,
+        "op9_bpe": op9_bpe,
     }
 
 
