@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_rules, simhash, suffix_array
+from . import bpe, decontaminate, hmm, language_id, quality_rules, quotes, simhash, suffix_array, url_filter, zip_warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def abuse_terms(spark: SparkSession, sf_dir: str) -> list[str]:
     return [*quality_rules.INSULTS, *quality_rules.toxic_terms(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered_urls(_t(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policies(quality_rules.ledger(_t(spark, sf_dir, "documents"), abuse_terms(spark, sf_dir)))
 
@@ -25,10 +29,19 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(_t(spark, sf_dir, "documents"), abuse_terms(spark, sf_dir)))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.train(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(_t(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -37,19 +50,21 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.repeated_passages(_t(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(_t(spark, sf_dir, "conversations"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_t(spark, sf_dir, "documents"))
 
 
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.round_trip(_t(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_quality_rules": op2_quality_rules,
-        "quality_ablation": quality_ablation,
-        "op4_decontamination": op4_decontamination,
-        "op6_simhash": op6_simhash,
-        "op7_suffix_array": op7_suffix_array,
-        "op9_bpe": op9_bpe,
-    }
+    ops = (op1_url_filter, op2_quality_rules, quality_ablation, op3_lm_scoring, op4_decontamination, op5_language_id, op6_simhash, op7_suffix_array, op8_chat_formatting, op9_bpe, op10_zip_warc)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -58,4 +73,6 @@ def oracle_sql() -> dict[str, str]:
         "quality_ablation": quality_rules.ablation_sql(),
         "op4_decontamination": decontaminate.contaminated_sql(),
         "op7_suffix_array": suffix_array.runs_sql(),
+        "op8_chat_formatting": quotes.reply_ordered_sql(),
+        "op10_zip_warc": zip_warc.RECORDS_SQL,
     }
