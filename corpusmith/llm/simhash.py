@@ -244,7 +244,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _blocks(kept: DataFrame, tile: int) -> DataFrame:
     """One row a document and block: part tells apart what a task compares, side the two tiles of a part (null: one tile)."""
-    rows = kept.select(*KEY, "f0", "f1", F.explode(F.array_distinct("keys")).alias("key"))
+    rows = kept.select(*KEY, "f0", "f1", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     # A block beyond the tile size is hashed into t tiles; each tile meets itself and every other one in parts of their own.
     hot = sizes.where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("t"))
@@ -305,8 +305,9 @@ def _compare(radius: int):
 
 def pair_table(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (did, th, did2, th2) that join all documents with pairs within the radius, in blocks, to groups. Written."""
-    # Equal fingerprints: linked to the least of them, which alone goes on. Texts without a word never link here.
-    texts = prints.groupBy("f0", "f1", "keys").agg(F.min(F.struct(*KEY)).alias("least"), F.collect_set(F.struct(*KEY)).alias("all"))
+    # Equal fingerprints: linked to the least of them, which alone goes on, with the block keys of all. Without a word: equal texts only.
+    alike = F.when(F.col("keys")[0] == 0, F.col("th"))
+    texts = prints.groupBy("f0", "f1", alike.alias("wordless")).agg(F.min(F.struct(*KEY)).alias("least"), F.collect_set(F.struct(*KEY)).alias("all"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
     texts = written(texts.select("f0", "f1", "keys", "least", F.filter("all", lambda x: x != F.col("least")).alias("others")), "distinct_prints")
     same = texts.select("least", F.explode("others").alias("o")).select("o.did", "o.th", F.col("least.did").alias("did2"), F.col("least.th").alias("th2"))
     kept = texts.where("keys[0] <> 0").select("least.*", "f0", "f1", "keys")
