@@ -11,7 +11,7 @@ each distinct word of a slice of texts is passed once.
 Defined results: a null text, or one without a word, has a null language and a
 likelihood of 0; a tie goes to the language first in order; rows without a
 label, or with a null text, don't train; without any labelled row every language
-is null; repeated rows are scored each; other columns are not read.
+is null; repeated rows are scored each, but of rows with one doc_id and label one trains; other columns are not read.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, docs_each: int = TRAIN_
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     # The ids are ranked first, without the texts.
     ids = rows.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(_by("lang", order))).where(F.col("k") <= docs_each).select("doc_id", "lang")
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     fitted = sample.groupBy("lang").applyInPandas(_fit(vocabulary, rounds, smoothing), "lang string, prob array<double>").orderBy("lang").collect()
     return Model([r.lang for r in fitted], np.array([r.prob for r in fitted]).T if fitted else np.zeros((0, 0)))
 
