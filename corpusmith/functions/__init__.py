@@ -1 +1 @@
-
+"""Column functions and helpers that every part uses."""

@@ -150,6 +150,62 @@ def decode_header(data: bytes) -> tuple[list[int], list[int], int, int]:
     return ends, ids, block_size, last_length
 
 
+def text_bytes(text: str) -> bytes:
+    """A string with its length as var-byte before it."""
+    data = text.encode()
+    return varbyte(len(data)) + data
+
+
+def read_text(data: bytes, at: int) -> tuple[str, int]:
+    n, at = read_varbyte(data, at)
+    return data[at : at + n].decode(), at + n
+
+
+Posting = tuple[str, list[int], list[int]]
+
+
+def encode_run(postings: Sequence[Posting]) -> bytes:
+    """A run: var-byte count and offsets as gaps, then for each list its term, delta-coded ids and packed frequencies."""
+    parts = [text_bytes(term) + delta(ids) + pack(freqs) for term, ids, freqs in postings]
+    head = varbyte(len(parts)) + delta(_sums(0, [len(p) for p in parts])[:-1])
+    return struct.pack("<I", len(head)) + head + b"".join(parts)
+
+
+def decode_run(data: bytes) -> list[Posting]:
+    (size,) = struct.unpack_from("<I", data)
+    n, at = read_varbyte(data, 4)
+    offsets, _ = undelta(data, at) if n else ([], at)
+    out = []
+    for offset in offsets:
+        term, at = read_text(data, 4 + size + offset)
+        ids, at = undelta(data, at)
+        freqs, _ = unpack(data, at)
+        out.append((term, ids, freqs))
+    return out
+
+
+LexiconEntry = tuple[str, int, int, int]
+
+
+def encode_lexicon(entries: Sequence[LexiconEntry]) -> bytes:
+    """Size and count in eight bytes each, then term, block offset, chunk and document frequency of each entry."""
+    body = b"".join(text_bytes(t) + varbyte(block) + varbyte(chunk) + varbyte(df) for t, block, chunk, df in entries)
+    return struct.pack("<QQ", len(body), len(entries)) + body
+
+
+def decode_lexicon(data: bytes) -> list[LexiconEntry]:
+    _, n = struct.unpack_from("<QQ", data)
+    at, out = 16, []
+    for _ in range(n):
+        term, at = read_text(data, at)
+        numbers = []
+        for _ in range(3):
+            v, at = read_varbyte(data, at)
+            numbers.append(v)
+        out.append((term, *numbers))
+    return out
+
+
 #: name: (encode, decode) of an ascending list of ids.
 CODECS = {
     "delta_packed": (delta, lambda data: undelta(data)[0]),
@@ -188,7 +244,7 @@ def packed_size(n: Column, greatest: Column) -> Column:
 
 def gap_encoded(posts: DataFrame) -> DataFrame:
     """term, doc_id and gap: the distance from the list's last id; the first id itself for the first."""
-    return posts.select("term", "doc_id", F.expr("doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id)").alias("gap"), F.expr("row_number() over (partition by term order by doc_id)").alias("k"))
+    return posts.select("term", "doc_id", F.expr("doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id)").alias("gap"), F.expr("row_number() over (partition by term order by doc_id)").cast("long").alias("k"))
 
 
 def gap_decoded(encoded: DataFrame) -> DataFrame:

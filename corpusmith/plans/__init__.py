@@ -1 +1 @@
-
+"""The index and the registered queries."""

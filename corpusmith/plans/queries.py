@@ -12,6 +12,7 @@ from corpusmith.functions.tokenize import INDEX_REGEX, QUERY_ONE, QUERY_REGEX, i
 from corpusmith.operators import codecs, lists, reorder, search, snippets, vectors
 from corpusmith.plans import index as ix
 from corpusmith.sources import corpus as sources
+from corpusmith.sources import dumps
 
 ANY, ALL, COMMON, UNKNOWN = "ontion onea die", "the of ontion", "the of and", "the zzzz_absent"
 PAGES = "body ontion die"
@@ -144,12 +145,12 @@ def load_all(spark, sf_dir):
     return lists.load_all(_index(spark, sf_dir), "the")
 
 
-@query(_with(f"a(term, k) as (values {', '.join(map(str, PROBES))}) select a.term, k, min(doc_id) as doc_id from a left join post on a.term = post.term and doc_id >= k group by a.term, k"))
+@query(_with(f"a(term, k) as (values {', '.join(map(str, PROBES))}) select a.term, k::bigint as k, min(doc_id) as doc_id from a left join post on a.term = post.term and doc_id >= k group by a.term, k"))
 def next_geq(spark, sf_dir):
     return lists.next_geq(_index(spark, sf_dir), PROBES)
 
 
-@query(_with(f"a(term, doc_id) as (values {', '.join(map(str, PAIRS))}) select a.term, a.doc_id, tf from a left join post on a.term = post.term and a.doc_id = post.doc_id"))
+@query(_with(f"a(term, doc_id) as (values {', '.join(map(str, PAIRS))}) select a.term, a.doc_id::bigint as doc_id, tf from a left join post on a.term = post.term and a.doc_id = post.doc_id"))
 def get_freq(spark, sf_dir):
     return lists.get_freq(_index(spark, sf_dir), PAIRS)
 
@@ -419,6 +420,24 @@ def order_cluster(spark, sf_dir):
     return vectors.order_decision(*(c.where(F.col("side") == x).select("term", "weight") for x in _LANGS))
 
 
+@query(_with("x as (select 1) select doc_id || ' ' || url || ' ' || doc_length as line from dt"))
+def doc_table_dump(spark, sf_dir):
+    path = new_path(spark, "doc_table")
+    dumps.write_doc_table(_index(spark, sf_dir).docs, path)
+    return _lines(dumps.read_doc_table(spark, path), "doc_id", "url", "doc_length")
+
+
+@query(_with("x as (select 1) select term || ' ' || df as line from lex"))
+def lexicon_dump(spark, sf_dir):
+    path = new_path(spark, "lexicon")
+    dumps.write_lexicon(_index(spark, sf_dir).lexicon, path)
+    return _lines(dumps.read_lexicon(spark, path), "term", "df")
+
+
+def _lines(table, *columns):
+    return table.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("line"))
+
+
 @query("select doc_id as old_id, doc_id as new_id from documents")
 def identity_order(spark, sf_dir):
     return reorder.identity(_index(spark, sf_dir).docs)

@@ -1 +1 @@
-
+"""Collections, stores and text forms."""

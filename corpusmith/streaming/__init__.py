@@ -1 +1 @@
-
+"""Empty: the engine works on whole collections, and no stream operator belongs to it."""

@@ -66,3 +66,12 @@ def test_sizes(spark):
         assert got[t].varbyte_bytes == sum(len(C.varbyte(g)) for g in [ids[0], *C.gaps(ids)])
     chunk = {r.term: r for r in C.chunk_sizes(posts).collect()}
     assert all(r.exact and r.bytes == len(C.encode_chunk(*lists[t])) for t, r in chunk.items())
+
+
+@given(st.lists(st.tuples(st.text(max_size=8), ASCENDING.filter(len)), max_size=6))
+@settings(max_examples=40, deadline=None)
+def test_runs_and_lexicon(lists):
+    run = [(t, ids, [i % 300 + 1 for i in range(len(ids))]) for t, ids in lists]
+    assert C.decode_run(C.encode_run(run)) == run
+    entries = [(t, ids[0] << 20, len(ids), ids[-1]) for t, ids in lists]
+    assert C.decode_lexicon(C.encode_lexicon(entries)) == entries
