@@ -1,8 +1,9 @@
 """AND and OR queries with BM25, top k and explanations.
 
 A query's terms are filtered at the postings scan; lexicon rows and the one-row
-statistics join by broadcast, as they are as few as the terms. Lengths come from
-the doc table by a join on doc_id, and the best k from a bounded sort.
+statistics join by broadcast, as they are as few as the terms. Postings hold
+their document's length, so a query reads its own terms' rows and nothing that
+grows with all documents. The best k come from a bounded sort.
 
 Terms that the lexicon lacks are skipped, also by AND; an AND query without any
 known term is an error, an OR query is then empty. Scores are rounded to six
@@ -34,8 +35,7 @@ def term_scores(index: Index, query: str) -> DataFrame:
     words = query_words(query)
     posts = index.postings.where(F.col("term").isin(*words)) if words else index.postings.where("false")
     known = F.broadcast(index.lexicon.where(F.col("term").isin(*words)).select("term", "df")) if words else index.lexicon.where("false").select("term", "df")
-    lengths = index.docs.select("doc_id", "doc_length")
-    rows = posts.join(known, "term").join(lengths, "doc_id").crossJoin(F.broadcast(index.stats))
+    rows = posts.join(known, "term").crossJoin(F.broadcast(index.stats))
     idf = F.ln((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_length") / F.col("avgdl"))
     return rows.select("doc_id", "term", "tf", (idf * F.lit(K1 + 1) * F.col("tf") / (norm + F.col("tf"))).alias("s"))

@@ -1,7 +1,8 @@
 """The inverted index: four tables, each a plain DataFrame.
 
 docs      doc_id, url, doc_length
-postings  term, doc_id, tf            sorted by (term, doc_id) over ranges, so a term's rows are few row groups
+postings  term, doc_id, tf, doc_length   sorted by (term, doc_id) over ranges, so a term's rows are few row groups;
+                                         the length is held here too, so that a score needs no join with all documents
 lexicon   term, df, cf                sorted by term
 stats     n_docs, n_tokens, avgdl     one row
 """
@@ -35,8 +36,9 @@ def tokens(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """term, doc_id, tf. A document's tokens meet in one partition, so what is shuffled is one row a posting."""
-    return tokens(corpus).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """term, doc_id, tf, doc_length. A document's tokens meet in one partition, so what is shuffled is one row a posting."""
+    rows = corpus.select("doc_id", index_terms("content").alias("terms")).select("doc_id", F.size("terms").cast("long").alias("doc_length"), F.explode("terms").alias("term"))
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_length").alias("doc_length"))
 
 
 def doc_table(corpus: DataFrame) -> DataFrame:
@@ -144,5 +146,5 @@ def rekeyed(index: Index, order: DataFrame) -> Index:
     """The index with documents renumbered by order(old_id, new_id): postings and doc table alike."""
     to = order.select(F.col("old_id").alias("doc_id"), "new_id")
     renumber = lambda t: t.join(to, "doc_id").drop("doc_id").withColumnRenamed("new_id", "doc_id")
-    posts, docs = renumber(index.postings).select("term", "doc_id", "tf"), renumber(index.docs).select("doc_id", "url", "doc_length")
+    posts, docs = renumber(index.postings).select("term", "doc_id", "tf", "doc_length"), renumber(index.docs).select("doc_id", "url", "doc_length")
     return Index(docs, posts, index.lexicon, index.stats)

@@ -101,7 +101,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(_with("x as (select 1) select * from post"))
 def postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
 @query(_with("x as (select 1) select * from lex"))
@@ -142,7 +142,7 @@ def open_list(spark, sf_dir):
 
 @query(_with("x as (select 1) select * from post where term = 'the'"))
 def load_all(spark, sf_dir):
-    return lists.load_all(_index(spark, sf_dir), "the")
+    return lists.load_all(_index(spark, sf_dir), "the").select("term", "doc_id", "tf")
 
 
 @query(_with(f"a(term, k) as (values {', '.join(map(str, PROBES))}) select a.term, k::bigint as k, min(doc_id) as doc_id from a left join post on a.term = post.term and doc_id >= k group by a.term, k"))
