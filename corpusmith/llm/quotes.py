@@ -19,79 +19,156 @@ empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmith.functions.shared import checked_broadcast, drop_written, written
+from corpusmith.functions.ship import map_arrow
+
 _LEVEL = r"^(?:[ \t]*>)+"
+_MESSAGE = ["conv_id", "turn"]
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role and text, one row a message."""
+    """conv_id, turn, role and text, one row a message. Only messages of repeated rows are shuffled."""
     rows = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), conversations["role"].alias("role"), conversations["text"].alias("text"))
     rows = rows.where("conv_id is not null and turn is not null")
-    order = Window.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_last("role"), F.asc_nulls_last("text"))
-    return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    twice = written(rows.groupBy(*_MESSAGE).agg(F.count("*").alias("n")).where("n > 1").select(*_MESSAGE), "repeated_messages")
+    out = rows
+    if not twice.isEmpty():
+        again = checked_broadcast(twice, 16)
+        order = Window.partitionBy(*_MESSAGE).orderBy(F.asc_nulls_last("role"), F.asc_nulls_last("text"))
+        least = rows.join(again, _MESSAGE, "left_semi").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+        out = rows.join(again, _MESSAGE, "left_anti").unionByName(least)
+    return out.select(*_MESSAGE, "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def lines(msgs: DataFrame) -> DataFrame:
     """One row a line: n, level, its text without marks, and whether it announces a quote."""
-    cut = msgs.select("conv_id", "turn", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
+    cut = msgs.select(*_MESSAGE, "role", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
     mark = F.regexp_extract("line", _LEVEL, 0)
     level = F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))
-    out = cut.select("conv_id", "turn", "n", level.cast("long").alias("level"), F.expr("trim(substring(line, length(regexp_extract(line, '" + _LEVEL.replace("\\", "\\\\") + "', 0)) + 1))").alias("body"))
-    nxt = F.lead("level").over(Window.partitionBy("conv_id", "turn").orderBy("n"))
+    out = cut.withColumn("mark", F.length(mark)).select(*_MESSAGE, "role", "n", level.cast("long").alias("level"), F.expr("trim(substring(line, mark + 1))").alias("body"))
+    nxt = F.lead("level").over(Window.partitionBy(*_MESSAGE).orderBy("n"))
     return out.withColumn("next_level", nxt).withColumn("announces", (F.col("level") < F.coalesce("next_level", F.lit(0))) & F.col("body").rlike(r"(?i)\bwrote:$")).drop("next_level")
 
 
-def _normal(text):
+def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\t\n\f\r ]+", " "))
 
 
-def passages(cut: DataFrame) -> DataFrame:
-    """conv_id, turn, level, run and hash of the normalised text of each run of lines of one level; announcing lines are left out."""
-    per = Window.partitionBy("conv_id", "turn").orderBy("n")
-    rows = cut.where(~F.col("announces"))
+def passages(msgs: DataFrame) -> DataFrame:
+    """conv_id, turn, role and parts: the runs of lines of one level, as structs of run, level and passage, in order.
+
+    A message without a line that begins with '>' is one run, made in its row; only others are taken apart by line.
+    """
+    quoting = F.col("text").rlike(r"(?m)^[ \t]*>")
+    body = F.array_join(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), "\n")
+    part = F.struct(F.lit(1).cast("long").alias("run"), F.lit(0).cast("long").alias("level"), body.alias("passage"))
+    simple = msgs.where(~quoting).select(*_MESSAGE, "role", F.array(part).alias("parts"))
+    per = Window.partitionBy(*_MESSAGE).orderBy("n")
+    rows = lines(msgs.where(quoting)).where(~F.col("announces"))
     runs = rows.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(per), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(per))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "body"))), lambda x: x["body"]), "\n")
-    return runs.groupBy("conv_id", "turn", "level", "run").agg(text.alias("passage"))
+    each = runs.groupBy(*_MESSAGE, "role", "level", "run").agg(text.alias("passage"))
+    nested = each.groupBy(*_MESSAGE, "role").agg(F.sort_array(F.collect_list(F.struct("run", "level", "passage"))).alias("parts"))
+    return simple.unionByName(nested.select(*simple.columns))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("t", _normal(F.col("t"))).where("t <> ''").withColumn("h", F.xxhash64("t")).drop("t")
+
+
+def quotations(parts: DataFrame) -> DataFrame:
+    """(conv_id, turn, run, h) of the level-1 passages."""
+    one = F.explode(F.filter("parts", lambda p: p["level"] == 1)).alias("p")
+    return _hashed(parts.select(*_MESSAGE, one).select(*_MESSAGE, "p.run", F.col("p.passage").alias("t")))
 
 
 def units(parts: DataFrame) -> DataFrame:
-    """(conv_id, turn, h) of all that can be quoted of a message's own text: passages, paragraphs and lines."""
-    own = parts.where("level = 0")
-    texts = own.select("conv_id", "turn", F.explode(F.concat(F.array("passage"), F.split("passage", r"\n[ \t]*\n"), F.split("passage", "\n"))).alias("t"))
-    return texts.withColumn("t", _normal("t")).where("t <> ''").select("conv_id", F.col("turn").alias("source"), F.md5(F.col("t").cast("binary")).alias("h")).distinct()
-
-
-def linked(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, parent (null for the first), n_quotes that matched, and body without quotes."""
-    msgs = messages(conversations)
-    cut = lines(msgs)
-    parts = passages(cut)
-    quoted = parts.where("level = 1").select("conv_id", "turn", "run", _normal("passage").alias("t")).where("t <> ''").select("conv_id", "turn", "run", F.md5(F.col("t").cast("binary")).alias("h"))
-    hits = quoted.join(units(parts), ["conv_id", "h"]).where("source < turn").groupBy("conv_id", "turn", "source").agg(F.countDistinct("run").alias("n"))
-    best = hits.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "source")).alias("b")).select("conv_id", "turn", F.col("b.source").alias("source"), F.col("b.n").alias("n_quotes"))
-    bodies = parts.where("level = 0").groupBy("conv_id", "turn").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "passage"))), lambda x: x["passage"]), "\n"), F.lit(" \n\t")).alias("body"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = msgs.select("conv_id", "turn", "role", before.alias("before")).join(bodies, ["conv_id", "turn"], "left").join(best, ["conv_id", "turn"], "left")
-    return rows.select("conv_id", "turn", "role", F.coalesce("source", "before").alias("parent"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("body", F.lit("")).alias("body"))
+    """(conv_id, source, h) of all that can be quoted of a message's own text: passages, paragraphs and lines."""
+    own = parts.select("conv_id", F.col("turn").alias("source"), F.explode(F.filter("parts", lambda p: p["level"] == 0)).alias("p"))
+    texts = own.select("conv_id", "source", F.explode(F.concat(F.array("p.passage"), F.split("p.passage", r"\n[ \t]*\n"), F.split("p.passage", "\n"))).alias("t"))
+    return _hashed(texts).distinct()
+
+
+def links(parts: DataFrame) -> DataFrame:
+    """conv_id, turn, source and n_quotes of each message whose quotes match an earlier one. Only conversations that quote are hashed. Written."""
+    quoted = written(quotations(parts), "quotations")
+    quoting = written(quoted.select("conv_id").distinct(), "quoting")
+    own = units(parts.join(checked_broadcast(quoting, 8), "conv_id", "left_semi"))
+    hits = quoted.join(own, ["conv_id", "h"]).where("source < turn").groupBy(*_MESSAGE, "source").agg(F.countDistinct("run").alias("n"))
+    best = hits.groupBy(*_MESSAGE).agg(F.max(F.struct("n", "source")).alias("b"))
+    out = written(best.select(*_MESSAGE, "b.source", F.col("b.n").alias("n_quotes")), "links")
+    drop_written(quoted, quoting)
+    return out
+
+
+def tree(turn: np.ndarray, source: list[int | None]) -> tuple[list[int], list[int], list[int]]:
+    """Row of the parent (-1: none), depth and position in the tree's order of one conversation's messages, which come in turn order."""
+    row = {int(t): k for k, t in enumerate(turn)}
+    parent = [row[s] if s is not None else k - 1 for k, s in enumerate(source)]
+    children: list[list[int]] = [[] for _ in parent]
+    roots, depth, position = [], [0] * len(parent), [0] * len(parent)
+    for k, p in enumerate(parent):
+        depth[k] = depth[p] + 1 if p >= 0 else 0
+        (children[p] if p >= 0 else roots).append(k)
+    stack, done = roots[::-1], 0
+    while stack:
+        k = stack.pop()
+        position[k], done = done, done + 1
+        stack += reversed(children[k])
+    return parent, depth, position
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (conv_id, turn, source, n_quotes) sorted by conv_id and turn: parent, depth and position. One conversation is held at a time."""
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        conv, turn, source = (table.column(c).combine_chunks() for c in ("conv_id", "turn", "source"))
+        conv_, turn_ = conv.to_numpy(), turn.to_numpy()
+        begins = np.r_[np.flatnonzero(np.r_[True, conv_[1:] != conv_[:-1]]), len(conv_)]
+        inner = np.arange(len(conv_)) - np.repeat(begins[:-1], np.diff(begins))
+        parent, depth, position = np.where(inner > 0, np.arange(len(conv_)) - 1, -1), inner.copy(), inner.copy()
+        linked = np.flatnonzero(source.is_valid().to_numpy(zero_copy_only=False))
+        for c in np.unique(np.searchsorted(begins, linked, "right") - 1):
+            lo, hi = int(begins[c]), int(begins[c + 1])
+            p, depth[lo:hi], position[lo:hi] = tree(turn_[lo:hi], source.slice(lo, hi - lo).to_pylist())
+            parent[lo:hi] = [x + lo if x >= 0 else -1 for x in p]
+        return pa.RecordBatch.from_arrays([conv, turn, pa.array(turn_[parent], mask=parent < 0), table.column("n_quotes").combine_chunks(), pa.array(depth.astype(np.int64)), pa.array(position.astype(np.int64))], ["conv_id", "turn", "parent", "n_quotes", "depth", "position"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if held[0].column("conv_id")[0] != b.column("conv_id")[b.num_rows - 1]:
+            table = pa.Table.from_batches(held)
+            conv = table.column("conv_id").to_numpy()
+            cut = int(np.searchsorted(conv, conv[-1]))
+            yield out(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield out(pa.Table.from_batches(held))
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """conv_id, position (from 0), turn, parent, depth, role, n_quotes and body of each message, in the order of the reply tree.
 
-    A parent is always earlier, so one fold over a conversation's messages in turn order gives each its path from the root.
+    Texts are written once, taken apart; what is shuffled to link and order messages is ids and hashes.
     """
-    rows = linked(conversations)
-    by_turn = F.sort_array(F.collect_list(F.struct("turn", "parent")))
-    fold = F.aggregate(
-        by_turn,
-        F.create_map().cast("map<bigint,array<bigint>>"),
-        lambda done, m: F.map_concat(done, F.create_map(m["turn"], F.concat(F.coalesce(F.element_at(done, m["parent"]), F.array().cast("array<bigint>")), F.array(m["turn"])))),
-    )
-    paths = rows.groupBy("conv_id").agg(fold.alias("paths")).select("conv_id", F.explode("paths").alias("turn", "path"))
-    position = F.row_number().over(Window.partitionBy("conv_id").orderBy("path")) - 1
-    return rows.join(paths, ["conv_id", "turn"]).select("conv_id", position.cast("long").alias("position"), "turn", "parent", (F.size("path") - 1).cast("long").alias("depth"), "role", "n_quotes", "body")
+    parts = written(passages(messages(conversations)), "passages")
+    found = links(parts)
+    rows = parts.select(*_MESSAGE).join(checked_broadcast(found, 32), _MESSAGE, "left").select(*_MESSAGE, "source", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"))
+    placed = map_arrow(rows.repartition("conv_id").sortWithinPartitions(*_MESSAGE), _ordered, "conv_id long, turn long, parent long, n_quotes long, depth long, position long")
+    placed = written(placed, "places")
+    own = F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["passage"]), "\n")
+    joined = parts.select(*_MESSAGE, "role", F.trim(own, F.lit(" \n\t")).alias("body")).join(checked_broadcast(placed, 48), _MESSAGE)
+    return joined.select("conv_id", "position", "turn", "parent", "depth", "role", "n_quotes", "body")
 
 
 def reply_ordered_sql(source: str = "conversations") -> str:
