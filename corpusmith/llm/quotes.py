@@ -3,11 +3,19 @@
 A line's quote level is the number of leading '>' marks. Runs of lines of one
 level are passages. A quoted passage is normalised (lower case, white space as
 one space, trimmed) and hashed, and joined, within its conversation, to earlier
-messages' own passages, paragraphs and lines of the same hash. A message answers
-the message that its level-1 passages match (the one that most of them match,
-the latest of equals), else the latest message before it; the first answers
-none. The conversation is then laid out as a reply tree, each message followed
-by its answers in turn order, without the quotes.
+messages' own passages, paragraphs and lines of the same hash. So are its parts:
+its paragraphs, its lines and all its windows of WINDOW words, which may cross
+lines, joined to the same of earlier messages. Thus a quote of some lines or
+paragraphs, of a sentence within a line, or of a part that was wrapped anew is
+found too; only a part of a line of fewer words is too short to tell.
+
+A message answers the message that its quotes of the least level with a match
+point to: the one that most of these passages match whole, of equals that of
+most matching parts of its other passages, of equals the latest. Without a match
+at any level it answers the latest message before it; the first answers none.
+n_quotes counts the passages of that level that match the answered message,
+whole or in part. The conversation is then laid out as a reply tree, each
+message followed by its answers in turn order, without the quotes.
 
 Defined results: a null text is empty; rows with a null conv_id or turn have no
 place in a conversation and are left out; repeated rows (same conv_id and turn)
@@ -29,6 +37,10 @@ from pyspark.sql import functions as F
 from corpusmith.functions.shared import checked_broadcast, drop_written, written
 from corpusmith.functions.ship import map_arrow
 
+from . import textops as T
+
+#: Words of the windows by which parts of messages are compared.
+WINDOW = 5
 _LEVEL = r"^(?:[ \t]*>)+"
 _MESSAGE = ["conv_id", "turn"]
 
@@ -83,28 +95,42 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("t", _normal(F.col("t"))).where("t <> ''").withColumn("h", F.xxhash64("t")).drop("t")
 
 
-def quotations(parts: DataFrame) -> DataFrame:
-    """(conv_id, turn, run, h) of the level-1 passages."""
-    one = F.explode(F.filter("parts", lambda p: p["level"] == 1)).alias("p")
-    return _hashed(parts.select(*_MESSAGE, one).select(*_MESSAGE, "p.run", F.col("p.passage").alias("t")))
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every WINDOW consecutive words of each row's t, with the row's other columns."""
+    for b in batches:
+        for lo, hi in T.slices(b.column("t")):
+            rows = b.slice(lo, hi - lo)
+            w = T.words(rows.column("t"), T.SPACED)
+            inside = np.flatnonzero(T.whole(w.offsets, WINDOW, len(w.starts)))
+            found = T.ngram_hashes(T.word_hashes(w), WINDOW)[inside].view(np.int64)
+            owner = pa.array(w.owner()[inside])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(owner) for c in _PASSAGE), pa.array(found)], [*_PASSAGE, "h"])
+
+
+_PASSAGE = [*_MESSAGE, "level", "run"]
 
 
-def units(parts: DataFrame) -> DataFrame:
-    """(conv_id, source, h) of all that can be quoted of a message's own text: passages, paragraphs and lines."""
-    own = parts.select("conv_id", F.col("turn").alias("source"), F.explode(F.filter("parts", lambda p: p["level"] == 0)).alias("p"))
-    texts = own.select("conv_id", "source", F.explode(F.concat(F.array("p.passage"), F.split("p.passage", r"\n[ \t]*\n"), F.split("p.passage", "\n"))).alias("t"))
-    return _hashed(texts).distinct()
+def pieces(parts: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, run, h, whole) of each passage as a whole and of its paragraphs, lines and windows."""
+    each = parts.select(*_MESSAGE, F.explode("parts").alias("p")).select(*_MESSAGE, "p.level", "p.run", "p.passage")
+    whole = _hashed(each.select(*_PASSAGE, F.col("passage").alias("t"))).withColumn("whole", F.lit(1))
+    cut = F.explode(F.concat(F.split("passage", r"\n[ \t]*\n"), F.split("passage", "\n")))
+    some = _hashed(each.select(*_PASSAGE, cut.alias("t")))
+    windows = map_arrow(each.select(*_PASSAGE, _normal(F.col("passage")).alias("t")), _windows, "conv_id long, turn long, level long, run long, h long")
+    return whole.unionByName(some.unionByName(windows).withColumn("whole", F.lit(0)))
 
 
 def links(parts: DataFrame) -> DataFrame:
     """conv_id, turn, source and n_quotes of each message whose quotes match an earlier one. Only conversations that quote are hashed. Written."""
-    quoted = written(quotations(parts), "quotations")
-    quoting = written(quoted.select("conv_id").distinct(), "quoting")
-    own = units(parts.join(checked_broadcast(quoting, 8), "conv_id", "left_semi"))
-    hits = quoted.join(own, ["conv_id", "h"]).where("source < turn").groupBy(*_MESSAGE, "source").agg(F.countDistinct("run").alias("n"))
-    best = hits.groupBy(*_MESSAGE).agg(F.max(F.struct("n", "source")).alias("b"))
+    quoting = written(parts.where(F.exists("parts", lambda p: p["level"] > 0)).select("conv_id").distinct(), "quoting")
+    made = written(pieces(parts.join(checked_broadcast(quoting, 8), "conv_id", "left_semi")), "pieces")
+    quoted = made.where("level > 0").groupBy(*_PASSAGE, "h").agg(F.max("whole").alias("whole"))
+    own = made.where("level = 0").select("conv_id", F.col("turn").alias("source"), "h").distinct()
+    hits = quoted.join(own, ["conv_id", "h"]).where("source < turn").groupBy(*_PASSAGE, "source").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
+    votes = hits.groupBy(*_MESSAGE, "level", "source").agg(F.sum("whole").alias("wholes"), F.sum(F.expr("if(whole = 1, 0, n)")).alias("some"), F.count("*").alias("n"))
+    best = votes.groupBy(*_MESSAGE).agg(F.max(F.struct((-F.col("level")).alias("near"), "wholes", "some", "source", "n")).alias("b"))
     out = written(best.select(*_MESSAGE, "b.source", F.col("b.n").alias("n_quotes")), "links")
-    drop_written(quoted, quoting)
+    drop_written(made, quoting)
     return out
 
 
@@ -172,7 +198,7 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
 
 
 def reply_ordered_sql(source: str = "conversations") -> str:
-    """The same as DuckDB SQL, with a recursive query for the tree."""
+    """The same as DuckDB SQL, with a recursive query for the tree. It knows whole quotes of level 1 only: no parts, no deeper levels."""
     norm = r"trim(regexp_replace(lower(t), '[\t\n\f\r ]+', ' ', 'g'))"
     level = r"regexp_extract(line, '^(?:[ \t]*>)+')"
     return rf"""

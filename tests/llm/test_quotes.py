@@ -91,3 +91,25 @@ def test_awkward_rows(spark):
     rows = Q.reply_ordered(spark.createDataFrame(long, SCHEMA)).collect()
     assert {(r.conv_id, r.turn): r.depth for r in rows}[2, 149] == 149
     assert next(r for r in rows if r.conv_id == 1 and r.turn == 1).n_quotes == 1
+
+
+def test_parts_and_deeper_levels(spark):
+    first = "one alpha\ntwo beta\nthree gamma\nfour delta"
+    paragraphs = "p one\nmore one\n\np two\nmore two\n\np three"
+    sentence = "We met on Monday. The plan is to ship the new parser by the end of May. Nobody objected."
+    other = "something else"
+    rows = [(1, 0, first), (1, 1, other), (1, 2, "> two beta\n> three gamma\nyes")]
+    rows += [(2, 0, paragraphs), (2, 1, other), (2, 2, "> p two\n> more two\n>\n> p three\nyes")]
+    rows += [(3, 0, "deep words"), (3, 1, other), (3, 2, ">> deep words\nyes")]
+    rows += [(4, 0, sentence), (4, 1, other), (4, 2, "> The plan is to ship\n> the new parser by the end of May.\nyes")]
+    rows += [(5, 0, first), (5, 1, other), (5, 2, "> one alpha\n> [...]\n> four delta\nyes")]
+    # Whole before parts, level 1 in part before level 2 whole, more parts before fewer, words too few to tell.
+    rows += [(6, 0, "kept line"), (6, 1, first), (6, 2, "> kept line\nmid\n> two beta\n> cut\nyes")]
+    rows += [(7, 0, first), (7, 1, other), (7, 2, ">> something else\n> two beta\n> cut\nyes")]
+    rows += [(8, 0, first), (8, 1, "two beta\nno"), (8, 2, other), (8, 3, "> two beta\n> three gamma\nyes")]
+    rows += [(9, 0, sentence), (9, 1, other), (9, 2, "> Nobody objected.\nyes")]
+    table = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], SCHEMA)
+    got = {(r.conv_id, r.turn): (r.parent, r.n_quotes) for r in Q.reply_ordered(table).collect()}
+    assert [got[c, 2] for c in range(1, 6)] == [(0, 1)] * 5
+    # Both quotes of conversation 6: one whole of 0, one part of 1.
+    assert got[6, 2] == (0, 1) and got[7, 2] == (0, 1) and got[8, 3] == (0, 1) and got[9, 2] == (1, 0)
