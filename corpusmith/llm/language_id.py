@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,7 +36,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Labelled documents of a language that train it at most: those whose md5(doc_id) is least.
 TRAIN_DOCS = 400
 ROUNDS, SMOOTHING = 4, 0.02
-#: Bytes of a unit up to which it is passed with others, unscaled; a longer one is passed alone, scaled.
+#: Bytes of a word up to which it is passed with others, unscaled; a longer one is passed alone, in logarithms, in training as in scoring.
 SHORT = 48
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -145,23 +146,49 @@ def expected(lat: Lattice, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def long_unit(unit: bytes, vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Log likelihoods of one unit of any length: the forward pass over a ring of the last places, scaled at each."""
+    """Log likelihoods of one unit of any length: the forward pass over a ring of the last places, in logarithms."""
     longest = max(vocabulary.by_length)
-    ring = np.zeros((longest + 1, prob.shape[1]))
-    ring[0] = 1
-    log = np.zeros(prob.shape[1])
+    ring = np.full((longest + 1, prob.shape[1]), -np.inf)
+    ring[0] = 0
     for j in range(1, len(unit) + 1):
-        total = np.zeros(prob.shape[1])
+        total = np.full(prob.shape[1], -np.inf)
         for n in range(1, min(j, longest) + 1):
             rank = vocabulary.texts.get(unit[j - n : j])
             if rank is not None:
-                total += ring[(j - n) % (longest + 1)] * prob[rank]
+                total = np.logaddexp(total, ring[(j - n) % (longest + 1)] + np.log(prob[rank]))
         ring[j % (longest + 1)] = total
-        if not j % 8:
-            scale = ring.max(axis=0)
-            ring /= scale
-            log += np.log(scale)
-    return log + np.log(ring[len(unit) % (longest + 1)])
+    return ring[len(unit) % (longest + 1)].copy()
+
+
+def long_expected(unit: bytes, vocabulary: Pieces, prefixes: set[bytes], prob: np.ndarray, weight: float, out: np.ndarray) -> None:
+    """Adds the expected counts of one unit of any length to out: forward and backward over its places, in logarithms."""
+    n = len(unit)
+
+    def edges(i: int) -> Iterator[tuple[int, int]]:
+        for j in range(i + 1, n + 1):
+            piece = unit[i:j]
+            if piece not in prefixes:
+                return
+            rank = vocabulary.texts.get(piece)
+            if rank is not None:
+                yield j, rank
+
+    def summed(a: float, b: float) -> float:
+        a, b = max(a, b), min(a, b)
+        return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+    log_prob: dict[int, float] = {}
+    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i in range(n):
+        for j, rank in edges(i):
+            if rank not in log_prob:
+                log_prob[rank] = math.log(prob[rank])
+            alpha[j] = summed(alpha[j], alpha[i] + log_prob[rank])
+    for i in range(n - 1, -1, -1):
+        for j, rank in edges(i):
+            through = log_prob[rank] + beta[j]
+            beta[i] = summed(beta[i], through)
+            out[rank] += weight * math.exp(alpha[i] + through - alpha[n])
 
 
 def distinct(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -194,26 +221,30 @@ def _fit(path: str, rounds: int, smoothing: float):
         v = pieces(path)
         texts = pa.array(rows["text"].tolist(), pa.string())
         weight: dict[bytes, int] = {}
+        long: dict[bytes, int] = {}
         for lo, hi in T.slices(texts):
             w = T.words(texts[lo:hi], T.SPACED)
             one, kind = distinct(w)
             for k, n in zip(one, np.bincount(kind, minlength=len(one))):
-                if w.ends[k] - w.starts[k] < SHORT:
-                    word = w.data[w.starts[k] : w.ends[k]].tobytes()
-                    weight[word] = weight.get(word, 0) + int(n)
+                word = w.data[w.starts[k] : w.ends[k]].tobytes()
+                to = weight if len(word) < SHORT else long
+                to[word] = to.get(word, 0) + int(n)
         usable = np.array(sorted(v.texts.values()))
         prob = np.zeros(v.total)
         prob[usable] = 1 / len(usable)
-        if weight:
+        prefixes = {x[:k] for x in v.texts for k in range(1, len(x) + 1)} if long else set()
+        if weight or long:
             data = np.frombuffer(b"".join(weight), np.uint8)
-            ends = np.cumsum([len(x) for x in weight])
-            starts = ends - [len(x) for x in weight]
+            ends = np.cumsum(np.array([len(x) for x in weight], np.int64))
+            starts = ends - np.array([len(x) for x in weight], ends.dtype)
             counts = np.array([*weight.values()], float)
             parts = [(lattice(data, starts[i : i + 40_000], ends[i : i + 40_000], v), counts[i : i + 40_000]) for i in range(0, len(ends), 40_000)]
             for _ in range(rounds):
                 total = np.zeros(v.total)
                 for lat, c in parts:
                     total += expected(lat, prob, c)
+                for word, c in long.items():
+                    long_expected(b" " + word, v, prefixes, prob, c, total)
                 prob[usable] = (total[usable] + smoothing) / (total[usable].sum() + smoothing * len(usable))
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "prob": [prob]})
 

@@ -92,3 +92,30 @@ def test_awkward_rows(spark):
     assert none.languages == [] and {r.language for r in L.identified(awkward(spark), none).collect()} == {None}
     same = L.Model(["a", "b"], np.repeat(model.prob[:, :1], 2, axis=1))
     assert {r.language for r in L.identified(awkward(spark).where(F.col("doc_id") == 0), same).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("size", [1, 7, 48, 90])
+def test_long_units_count_as_short_ones(size):
+    rng = np.random.default_rng(size)
+    ranks = {bytes([b]): b for b in range(256)} | {p: 256 + k for k, p in enumerate((b"ab", b"abc", b" a", b"bca", b"cabcab", b"aaaa"))}
+    v = L.piece_table(ranks)
+    prob = rng.dirichlet(np.ones(v.total))
+    word = bytes(rng.choice(list(b"abc"), size).tolist())
+    lat = L.lattice(np.frombuffer(word, np.uint8), np.array([0]), np.array([size]), v)
+    out = np.zeros(v.total)
+    L.long_expected(b" " + word, v, {x[:k] for x in v.texts for k in range(1, len(x) + 1)}, prob, 3, out)
+    assert np.allclose(out, L.expected(lat, prob, np.array([3.0])))
+
+
+def test_very_long_units_train(spark):
+    texts = [("x", "日本語の文章です" * 400), ("y", "今天天气很好我们" * 400), ("x", "z" * 30_000)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    got = {r.doc_id: r.language for r in L.identified(docs, model).collect()}
+    assert got == {0: "x", 1: "y", 2: "x"}
+    # Learned pieces are far from uniform.
+    assert (model.prob.max(axis=0) > 0.02).all()
+    total = np.zeros(model.prob.shape[0])
+    v = L.pieces()
+    L.long_expected(b" " + texts[1][1].encode(), v, {x[:k] for x in v.texts for k in range(1, len(x) + 1)}, model.prob[:, 1], 1, total)
+    assert sum(total[r] * len(p) for p, r in v.texts.items()) == pytest.approx(1 + len(texts[1][1].encode()), rel=1e-6)
