@@ -13,7 +13,8 @@ pyarrow opens by URI will do.
 
 Defined results: a package that is no ZIP file, or is cut off, gives no rows (see
 ``members`` for what was found in each); members that are compressed are listed
-but not read; an archive without an index is scanned record by record; records
+but not read; what an archive's indexes do not cover, or all of it without one, is
+scanned record by record; records
 that are no page of ours have a null page_id. Writing keeps null urls and pages
 apart from empty ones, repeated rows as records each, and reads no other column;
 an empty table gives no package and no row.
@@ -21,6 +22,7 @@ an empty table gives no package and no row.
 
 from __future__ import annotations
 
+import array
 import gzip
 import io
 import json
@@ -31,6 +33,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -241,11 +244,23 @@ def _entries(f: _File, at: int, size: int, archives: dict[str, tuple[int, int]])
                     yield name, int(x["offset"]), int(x["length"])
 
 
-def _scan(f: _File, at: int, size: int, zipped: bool) -> Iterator[tuple[int, int]]:
-    """(offset, length) of the records of an archive without an index."""
-    pos = 0
+def _gaps(listed: array.array, size: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of what the listed offset, length, offset, length, ... leave out."""
+    spans = np.array(listed, np.int64).reshape(-1, 2)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(np.r_[0, spans.sum(axis=1)])
+    begins = np.r_[spans[:, 0], size]
+    for k in np.flatnonzero(begins > ends):
+        yield int(ends[k]), int(begins[k])
+
+
+def _scan(f: _File, at: int, size: int, zipped: bool, pos: int = 0) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of an archive from pos up to size."""
     while pos < size:
         if zipped:
+            # Padding is no record.
+            if f.read(at + pos, min(2, size - pos)) != b"\x1f\x8b":
+                return
             d, n = zlib.decompressobj(31), 0
             while not d.eof and pos + n < size:
                 piece = f.read(at + pos + n, min(1 << 16, size - pos - n))
@@ -254,6 +269,8 @@ def _scan(f: _File, at: int, size: int, zipped: bool) -> Iterator[tuple[int, int
             if not d.eof:
                 return
         else:
+            while pos < size and f.read(at + pos, 1) in b"\r\n":
+                pos += 1
             head, want = b"", 1 << 12
             while b"\r\n\r\n" not in head and len(head) < size - pos:
                 head = f.read(at + pos, min(want, size - pos))
@@ -261,7 +278,7 @@ def _scan(f: _File, at: int, size: int, zipped: bool) -> Iterator[tuple[int, int
             if b"\r\n\r\n" not in head:
                 return
             headers, _ = record_parts(head)
-            n = head.index(b"\r\n\r\n") + 4 + int(headers.get("content-length", 0)) + 4
+            n = min(head.index(b"\r\n\r\n") + 4 + int(headers.get("content-length", 0)) + 4, size - pos)
         yield pos, n
         pos += n
 
@@ -271,7 +288,8 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, found in zip(b.column("path").to_pylist(), b.column("members").to_pylist()):
             archives = {m["name"]: (m["data_at"], m["size"]) for m in found if m["name"].startswith("archive/")}
-            at, n, zipped, seen = [], [], [], set()
+            at, n, zipped = [], [], []
+            seen = {name: array.array("q") for name in archives}
 
             def out() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(zipped, pa.bool_()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["path", "zipped", "at", "n"])  # noqa: B023
@@ -279,18 +297,22 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with _File(path) as f:
                 entries = (e for m in found if m["name"].startswith("indexes/") and m["name"].endswith((".cdxj", ".cdx")) for e in _entries(f, m["data_at"], m["size"], archives))
                 for name, offset, length in entries:
-                    seen.add(name)
+                    seen[name].extend((offset, length))
                     at.append(archives[name][0] + offset)
                     n.append(length)
                     zipped.append(name.endswith(".gz"))
                     if len(at) >= 50_000:
                         yield out()
                         at, n, zipped = [], [], []
-                for name in archives.keys() - seen:
-                    for offset, length in _scan(f, *archives[name], name.endswith(".gz")):
-                        at.append(archives[name][0] + offset)
-                        n.append(length)
-                        zipped.append(name.endswith(".gz"))
+                for name, (begin, size) in archives.items():
+                    for lo, hi in _gaps(seen[name], size):
+                        for offset, length in _scan(f, begin, hi, name.endswith(".gz"), lo):
+                            at.append(begin + offset)
+                            n.append(length)
+                            zipped.append(name.endswith(".gz"))
+                            if len(at) >= 50_000:
+                                yield out()
+                                at, n, zipped = [], [], []
             if at:
                 yield out()
 

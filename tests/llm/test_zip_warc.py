@@ -108,3 +108,22 @@ def test_round_trip(spark, tmp_path):
     clash = pages.withColumns({c: F.lit("clash") for c in ("path", "at", "n", "zipped", "part", "name", "members")})
     assert rows_of(Z.round_trip(clash)) == sorted(ROWS, key=repr)
     assert Z.round_trip(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("listed", [[0], [1, 2], [6], [5, 0, 3], [*range(7)]])
+@pytest.mark.parametrize("zipped", [True, False])
+def test_records_that_an_index_leaves_out_are_read(spark, tmp_path, listed, zipped):
+    import gzip
+    import json
+
+    parts = [Z.record(*r) for r in ROWS]
+    parts = [gzip.compress(p) for p in parts] if zipped else parts
+    name = "data.warc.gz" if zipped else "data.warc"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr(f"archive/{name}", b"".join(parts))
+        # Of plain records the index gives the length without the line ends after them.
+        lines = [json.dumps({"filename": name, "offset": str(sum(map(len, parts[:k]))), "length": str(len(parts[k]) - (0 if zipped else 4))}) for k in listed]
+        z.writestr("indexes/index.cdxj", "".join(f"- 20240101000000 {x}\n" for x in lines))
+    got = Z.records(frame(spark, tmp_path, out.getvalue()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(ROWS, PAGES).collect()))
