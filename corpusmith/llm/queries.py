@@ -42,6 +42,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model_scores(_t(spark, sf_dir, "documents"))
 
 
+def lm_training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.training_history(_t(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -63,7 +67,7 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_quality_rules, quality_ablation, op3_lm_scoring, op4_decontamination, op5_language_id, op6_simhash, op7_suffix_array, op8_chat_formatting, op9_bpe, op10_zip_warc)
+    ops = (op1_url_filter, op2_quality_rules, quality_ablation, op3_lm_scoring, lm_training_history, op4_decontamination, op5_language_id, op6_simhash, op7_suffix_array, op8_chat_formatting, op9_bpe, op10_zip_warc)
     return {f.__name__: f for f in ops}
 
 
