@@ -7,8 +7,11 @@ expressions and Spark ML, also training.
 
 Defined results: a null or empty URL, or one without a host, has a null score
 and isn't dropped; repeated rows are scored each; scheme, query and fragment
-don't count; other columns are not read; an empty table gives an empty one. A
-labelled table with one class only can't train and raises ValueError.
+don't count; very long URLs are scored whole; other columns are not read; an empty
+table gives an empty one. Labelled rows with a null url or label, or without a host,
+don't train; at the bound of labelled rows, rows of one url are interchangeable but
+for their labels, of which the lesser goes first. A labelled table with one class
+only can't train and raises ValueError.
 """
 
 from __future__ import annotations
@@ -24,20 +27,28 @@ FEATURES, SIZES, THRESHOLD = 1 << 16, (2, 3, 4), 0.8
 #: Rows of the labelled table that train at most, those whose md5(url) is least.
 LABELLED_BOUND = 100_000
 
-_BAD_HOSTS = ("cheap-pills", "spam-farm", "casino-bonus", "free-casino", "online-poker-win", "best-pills-rx", "cheap-viagra", "click-farm", "link-farm", "seo-links", "payday-loan-now", "xxx-cams", "adult-dating", "hot-singles", "free-iphone-win", "crypto-doubler", "replica-watches", "warez-crack", "torrent-keygen", "lottery-winner", "fake-designer", "miracle-diet-pills", "essay-mill", "buy-followers", "spam-blog", "content-farm", "pills-discount", "farm-of-links")
-_BAD_PATHS = ("/buy-cheap-pills", "/win/prize?id=7", "/casino/bonus", "/free/download-crack.exe", "/en/12", "/de/9.html", "/xxx/live", "/offer/click-here-now", "/fr/301", "/", "/es/44#top", "/promo/loan")
-_GOOD_HOSTS = ("www.riverton-library", "blog.gardening-notes", "docs.open-data-tools", "m.city-council", "news.valley-herald", "www.museum-of-maps", "physics.northern-university", "recipes.old-kitchen", "www.town-hospital", "blog.thesan", "thering", "www.therun", "wiki.sailing-club", "archive.folk-songs", "weather.coast-station", "school.green-hill", "www.theatre-guide", "blog.mountain-trails", "m.theran", "forum.bicycle-repair", "press.science-weekly", "library.west-county", "www.court-records", "blog.history-walks", "maps.regional-rail", "www.ththen", "therore", "blog.astronomy-club")
-_GOOD_PATHS = ("/articles/2021/rivers", "/en/12", "/de/9.html", "/about", "/fr/301", "/research/papers/17", "/guide/planting-trees?page=2", "/", "/es/44#top", "/news/local/council-vote", "/reference/index.html", "/events/spring")
+#: Words of hosts and paths by general knowledge of the web, drawn up without any crawled or test table.
+_BAD_WORDS = ("casino", "poker", "betting", "jackpot", "slots", "viagra", "cialis", "pharmacy", "pills", "steroids", "porn", "sex", "adult", "xxx", "escort", "nude", "webcam", "cams", "hookup", "singles", "payday", "loans", "forex", "bitcoin-doubler", "replica", "knockoff", "warez", "keygen", "cracked", "torrent", "spam", "linkfarm", "backlinks", "followers", "clickbait", "lottery", "sweepstakes", "giveaway", "diet-pill", "weightloss")
+_BAD_MORE = ("cheap", "free", "online", "best", "hot", "buy", "win", "bonus", "discount", "deals", "instant", "farm", "4u", "x", "now", "vip")
+_GOOD_WORDS = ("library", "museum", "university", "school", "college", "council", "gazette", "herald", "journal", "archive", "hospital", "clinic", "theatre", "orchestra", "garden", "cooking", "astronomy", "geology", "history", "physics", "railway", "harbour", "weather", "football", "chess", "sailing", "cycling", "hiking", "architecture", "translation", "software", "database", "encyclopedia", "dictionary", "parliament", "ministry", "charity", "church", "bakery", "bookshop")
+_GOOD_MORE = ("north", "river", "city", "old", "green", "national", "daily", "notes", "guide", "society", "club", "open", "house", "blog", "wiki", "institute")
+_BAD_PATHS = ("/win-prize", "/bonus/signup", "/free-download.exe", "/xxx/live-cams", "/offer/click-here", "/cheap/order-now", "/promo/no-deposit", "/hot/singles-near-you")
+_GOOD_PATHS = ("/articles/rivers-of-europe", "/research/papers/17", "/guide/planting-trees", "/council/minutes/2019", "/reference/manual", "/events/spring-concert", "/lessons/grammar", "/history/timeline")
+#: Paths that say nothing, in both classes.
+_PATHS = ("", "/", "/index.html", "/2019/05/14/", "/page/3", "/p/48213", "/de/", "/view.php")
+_ENDS = ("com", "org", "net", "info", "co.uk", "de")
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, label) of invented hosts; label 1 is to be dropped."""
+    """A small labelled table (url, label) of made-up hosts; label 1 is to be dropped."""
     rows = []
-    for label, hosts, paths in ((1, _BAD_HOSTS, _BAD_PATHS), (0, _GOOD_HOSTS, _GOOD_PATHS)):
-        for k, host in enumerate(hosts):
-            for j in range(3):
-                prefix = ("", "www.", "m.")[(k + j) % 3] if label else ""
-                rows.append((f"{('http', 'https')[(k + j) % 2]}://{prefix}{host}.example.{('com', 'org', 'net')[(k + 2 * j) % 3]}{paths[(k * 5 + j * 7) % len(paths)]}", label))
+    for label, some, more, paths in ((1, _BAD_WORDS, _BAD_MORE, _BAD_PATHS), (0, _GOOD_WORDS, _GOOD_MORE, _GOOD_PATHS)):
+        for k, word in enumerate(some):
+            for j in range(6):
+                other = more[(3 * k + 5 * j) % len(more)]
+                host = (f"{other}-{word}", f"{word}-{other}", f"{word}{other}")[(k + j) % 3]
+                path = paths[(k * 5 + j) % len(paths)] if j % 3 == 0 else _PATHS[(k + 3 * j) % len(_PATHS)]
+                rows.append((f"{('http', 'https')[(k + j) % 2]}://{('', 'www.', 'm.', 'blog.')[(k + 3 * j) % 4]}{host}.{_ENDS[(k + j) % len(_ENDS)]}{path}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -67,7 +78,7 @@ def featured(urls: DataFrame, column: str = "url") -> DataFrame:
 
 
 def train(labelled: DataFrame, bound: int = LABELLED_BOUND, rounds: int = 60, regularisation: float = 0.002) -> PipelineModel:
-    rows = labelled.where("url is not null and label is not null").orderBy(F.md5(F.col("url").cast("binary"))).limit(bound)
+    rows = labelled.where("url is not null and label is not null").orderBy(F.md5(F.col("url").cast("binary")), "label").limit(bound)
     ready = featured(rows).where("host <> ''").select(F.col("row.label").cast("double").alias("label"), "grams")
     if ready.select("label").distinct().count() < 2:
         raise ValueError("the labelled table needs both classes")

@@ -26,7 +26,7 @@ def test_parts(spark):
 
 def test_held_out_accuracy(spark):
     """Hosts are held out whole, so no n-gram of a host's own rows helps."""
-    rows = U.seed_table(spark).withColumn("host", F.regexp_extract("url", r"://(?:www\.|m\.)?([^.]+(?:\.[^.]+)?)", 1)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(4)))
+    rows = U.seed_table(spark).withColumn("host", F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^.]+)", 1)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(4)))
     right = total = 0
     for fold in range(4):
         m = U.train(rows.where(F.col("fold") != fold).select("url", "label"))
@@ -58,3 +58,43 @@ def test_awkward_rows(spark, model):
         U.train(U.seed_table(spark).where("label = 1"))
     with pytest.raises(ValueError):
         U.train(U.seed_table(spark).where("false"))
+
+
+def murmur3(data, seed=42):
+    """The public 32-bit hash of that name, x86 variant."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> 32 - r) & m
+    h = seed
+    for i in range(0, len(data) - 3, 4):
+        k = rot(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+    tail = data[len(data) & ~3 :]
+    if tail:
+        h ^= rot(int.from_bytes(tail, "little") * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_scores_by_brute_force(spark, model):
+    """Every page of the small table: n-grams, hashing and the logistic score again, from the coefficients alone."""
+    import math
+    import re
+
+    logistic = model.stages[-1]
+    weights, intercept = logistic.coefficients.toArray(), logistic.intercept
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = U.scored(pages, model).collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)", r.url or "")
+        if not m or not m[1]:
+            assert r.score is None and not r.drop
+            continue
+        texts = (("h", f"^{m[1].lower()}$"), ("p", f"^{m[2]}$"))
+        found = {tag + t[i : i + n] for tag, t in texts for n in U.SIZES for i in range(len(t) - n + 1)}
+        columns = {murmur3(g.encode()) % U.FEATURES for g in found}
+        score = 1 / (1 + math.exp(-intercept - sum(weights[c] for c in columns)))
+        assert r.score == pytest.approx(score, abs=1e-8) and r.drop == (r.score >= U.THRESHOLD)
