@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,20 +11,20 @@ from ..compare import assert_same, save
 from .fixtures import DOCUMENTS, awkward, clashing, documents, empty
 
 
-def brute(texts):
-    """{(doc, start, stop, removed)} by all passages of 50 words."""
+def brute(texts, threshold=S.THRESHOLD):
+    """{(doc, start, stop, removed)} by all passages of so many words."""
     where = {}
     for d, t in enumerate(texts):
         w = (t or "").split()
-        for i in range(len(w) - S.THRESHOLD + 1):
-            where.setdefault(tuple(w[i : i + S.THRESHOLD]), []).append((d, i))
+        for i in range(len(w) - threshold + 1):
+            where.setdefault(tuple(w[i : i + threshold]), []).append((d, i))
     out = set()
     for removed in (False, True):
         marks = {}
         for places in where.values():
             if len(places) > 1:
                 for d, i in places[removed:]:
-                    marks.setdefault(d, set()).update(range(i, i + S.THRESHOLD))
+                    marks.setdefault(d, set()).update(range(i, i + threshold))
         for d, m in marks.items():
             starts = [i for i in m if i - 1 not in m]
             out |= {(d, i, next(j for j in range(i, i + len(m) + 1) if j not in m), removed) for i in starts}
@@ -60,6 +61,61 @@ def test_random_texts(spark):
     assert got(S.repeated_passages(documents(spark, texts))) == brute(texts)
 
 
+@pytest.mark.parametrize("threshold", [2, 3, 20, 75])
+def test_thresholds(spark, tmp_path, threshold):
+    rng = random.Random(threshold)
+    pool = [f"w{i}" for i in range(2000)]
+    source = [rng.choice(pool) for _ in range(1500)]
+    texts = [" ".join([*(f"n{d}_{i}" for i in range(9)), *source[(a := rng.randint(0, 1400)) : a + rng.randint(10, 130)], f"m{d}"]) for d in range(50)]
+    docs = documents(spark, texts)
+    found = S.repeated_passages(docs, threshold)
+    assert got(found) == brute(texts, threshold)
+    save(spark, tmp_path, documents=docs)
+    assert_same(found, tmp_path, S.runs_sql("documents", threshold))
+
+
+def test_rounds():
+    assert S.rounds(50) == (16, [16, 18]) and S.rounds(75) == (32, [32, 11]) and S.rounds(20) == (8, [8, 4]) and S.rounds(2) == (1, [1]) and S.rounds(3) == (1, [1, 1])
+    for threshold in range(2, 300):
+        seed, steps = S.rounds(threshold)
+        depth = seed
+        for step in steps:
+            assert 0 < step <= depth
+            depth += step
+        assert depth == threshold
+    with pytest.raises(ValueError):
+        S.rounds(1)
+
+
+def test_edges_of_ranges():
+    edges = [(0, 1, 1, 2), (5, 2, 2, 1), (100, 2, 2, 9), (200, 2, 2, 3), (207, 3, 3, 1), (300, 4, 4, 1)]
+    assert S.joined_edges(edges) == [(0, 0, 2), (5, 5, 13), (100, 5, 13), (200, 5, 13), (207, 207, 1), (300, 300, 1)] and S.joined_edges([]) == []
+
+
+def test_a_passage_in_a_tenth_of_all_documents_spreads(spark, monkeypatch):
+    """Many small ranges: groups go on over several of them, and none holds much more than its share."""
+    monkeypatch.setattr(S, "SORT_BYTES", 36 * 300)
+    passage = " ".join(f"p{i}" for i in range(55))
+    rng = random.Random(7)
+    texts = [" ".join([*(f"n{d}_{i}" for i in range(rng.randint(1, 90))), *([passage] if d % 10 == 0 else [])]) for d in range(900)]
+    texts += [" ".join(f"q{d % 40}_{i}" for i in range(60)) + f" end{d}" for d in range(120)]
+    docs = documents(spark, texts)
+    sizes = []
+
+    def ranked(pairs):
+        parts = -(-pairs.count() // 300)
+        order = ("a", "b", "did", "th", "pos")
+        counts = [r["count"] for r in pairs.repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).count().collect()]
+        sizes.append((max(counts), sorted(counts)[len(counts) // 2]))
+        return of(pairs)
+
+    of = S._ranked
+    monkeypatch.setattr(S, "_ranked", ranked)
+    assert got(S.repeated_passages(docs)) == brute(texts)
+    assert len(sizes) == 3
+    assert all(most < 2 * middle for most, middle in sizes)
+
+
 def test_cut(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = documents(spark, [f"one  {passage}\nend", f" two\t{passage}  tail\n", passage, "nothing here", None])
