@@ -14,15 +14,17 @@ adders count the differing bits of 64 pairs at once, and words all of whose
 lanes are beyond the radius (or joined already, or in different blocks) are
 abandoned after each group of planes.
 
-Equal word sets have equal fingerprints and are joined before any comparison,
-so a thousand copies enter as one. Near-duplicate pairs are joined to groups by
-min-label propagation with pointer jumping over written tables; the document
-with the least doc_id of a group stays.
+Texts of equal fingerprints and block keys are one kind, counted before any
+shuffle, so a thousand copies enter as one: its least document. Kinds of equal
+fingerprints are linked, kinds within the radius too, and linked kinds are joined
+to groups by min-label propagation with pointer jumping over written tables. Only
+then do the copies look up their kind's group; no group of copies is held in one
+row or task. The document with the least doc_id of a group stays.
 
 Defined results: a null text counts as empty; texts without a word are equal
-only to texts that are equal; repeated rows (same doc_id and text) are one
-document; ties in doc_id are broken by the hash of the text; an empty table
-gives an empty result; other columns are not read.
+only to texts that are equal; very long texts count with all their words; repeated
+rows (same doc_id and text) are one document; ties in doc_id are broken by the hash
+of the text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.shared import checked_broadcast, drop_written, written
@@ -303,18 +305,27 @@ def _compare(radius: int):
     return go
 
 
-def pair_table(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (did, th, did2, th2) that join all documents with pairs within the radius, in blocks, to groups. Written."""
-    # Equal fingerprints: linked to the least of them, which alone goes on, with the block keys of all. Without a word: equal texts only.
-    alike = F.when(F.col("keys")[0] == 0, F.col("th"))
-    texts = prints.groupBy("f0", "f1", alike.alias("wordless")).agg(F.min(F.struct(*KEY)).alias("least"), F.collect_set(F.struct(*KEY)).alias("all"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
-    texts = written(texts.select("f0", "f1", "keys", "least", F.filter("all", lambda x: x != F.col("least")).alias("others")), "distinct_prints")
-    same = texts.select("least", F.explode("others").alias("o")).select("o.did", "o.th", F.col("least.did").alias("did2"), F.col("least.th").alias("th2"))
-    kept = texts.where("keys[0] <> 0").select("least.*", "f0", "f1", "keys")
+_KIND = ["f0", "f1", "kh"]
+
+
+def _kinds(prints: DataFrame) -> DataFrame:
+    """One row a kind: f0, f1, kh (a hash of keys, or of the text where it has no word), keys, its least document and n of them. Written."""
+    hashed = prints.withColumn("kh", _kind_hash())
+    return written(hashed.groupBy(*_KIND).agg(F.min(F.struct(*KEY)).alias("least"), F.min("keys").alias("keys"), F.count("*").alias("n")), "kinds")
+
+
+def _kind_hash() -> Column:
+    return F.when(F.col("keys")[0] == 0, F.col("th")).otherwise(F.xxhash64("keys"))
+
+
+def pair_table(kinds: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (did, th, did2, th2) that join all kinds of equal fingerprints, and with pairs within the radius in blocks, to groups. Written."""
+    worded = kinds.where("keys[0] <> 0")
+    several = worded.groupBy("f0", "f1").agg(F.min("least").alias("to"), F.count("*").alias("k")).where("k > 1").drop("k")
+    same = worded.select("f0", "f1", "least").join(several, ["f0", "f1"]).where("least <> to").select("least.did", "least.th", F.col("to.did").alias("did2"), F.col("to.th").alias("th2"))
+    kept = worded.select("least.*", "f0", "f1", "keys")
     near = map_arrow(_blocks(kept, tile).repartition("key", "part").sortWithinPartitions("key", "part", *KEY), _compare(radius), "did long, th long, did2 long, th2 long")
-    links = written(near.distinct().unionByName(same), "links")
-    drop_written(texts)
-    return links
+    return written(near.distinct().unionByName(same), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,29 +354,49 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
+def grouped(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(did, th, did2, th2) of the documents of prints that go, each with the document of its group that stays. Written."""
+    kinds = _kinds(prints)
+    links = pair_table(kinds, radius, tile)
+    roots = components(links)
+    # What is more than one document takes its kind's group; the kinds' least documents have it from the links.
+    copied = written(kinds.where("n > 1").select(*_KIND, F.col("least.did").alias("kd"), F.col("least.th").alias("kt")), "copied")
+    members = prints.select(*KEY, "f0", "f1", _kind_hash().alias("kh")).join(checked_broadcast(copied, 64), _KIND).where("did <> kd or th <> kt")
+    of = roots.select(F.col("did").alias("kd"), F.col("th").alias("kt"), "did2", "th2")
+    to = members.distinct().join(of, ["kd", "kt"], "left").select(*KEY, F.coalesce("did2", "kd").alias("did2"), F.coalesce("th2", "kt").alias("th2"))
+    out = written(roots.unionByName(to), "near_duplicates")
+    drop_written(kinds, links, roots, copied)
+    return out
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(did, th, did2, th2): each document that goes, and the document of its group that stays. Written."""
     prints = fingerprint_table(docs)
-    links = pair_table(prints, radius, tile)
-    out = components(links)
-    drop_written(prints, links)
+    out = grouped(prints, radius, tile)
+    drop_written(prints)
     return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id of each document that goes, with kept_doc_id, the one of its group that stays."""
+    """doc_id of each document that goes, with kept_doc_id, the one of its group that stays. drop_written of it drops the groups."""
     g = groups(docs, radius)
-    return g.select(doc_id(), F.when(F.col("did2") != F.lit(-(1 << 63)), F.col("did2")).alias("kept_doc_id"))
+    out = g.select(doc_id(), F.when(F.col("did2") != F.lit(-(1 << 63)), F.col("did2")).alias("kept_doc_id"))
+    out.shared_path = g.shared_path
+    return out
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, with all their columns, without those that go; of repeated rows one stays."""
-    gone = groups(docs, radius).select(*KEY)
+    """The rows of docs, with all their columns, without those that go; of repeated rows one stays. drop_written of it drops the groups."""
+    gone = groups(docs, radius)
     rows = packed(docs)
     twice = written(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated_rows")
-    left = rows.join(checked_broadcast(gone, 16), [*KEY], "left_anti")
+    left = rows.join(checked_broadcast(gone.select(*KEY), 16), [*KEY], "left_anti")
     once = left
-    if not twice.isEmpty():
+    if twice.isEmpty():
+        drop_written(twice)
+    else:
         again = checked_broadcast(twice, 16)
         once = left.join(again, [*KEY], "left_anti").unionByName(left.join(again, [*KEY], "left_semi").dropDuplicates([*KEY]))
-    return once.select("row.*")
+    out = once.select("row.*")
+    out.shared_path = gone.shared_path
+    return out

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,8 +58,8 @@ def test_tiles_meet_each_other(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat("text", F.lit(" extra words"))))
     prints = S.fingerprint_table(docs)
-    one = {(r.did, r.did2) for r in S.components(S.pair_table(prints)).collect()}
-    many = {(r.did, r.did2) for r in S.components(S.pair_table(prints, tile=3)).collect()}
+    one = {(r.did, r.did2) for r in S.grouped(prints).collect()}
+    many = {(r.did, r.did2) for r in S.grouped(prints, tile=3).collect()}
     assert one == many and len(one) >= 200 * 0.9
 
 
@@ -107,3 +108,52 @@ def test_texts_without_a_word_and_short_ones(spark):
     got = {r.doc_id: r.kept_doc_id for r in S.near_duplicates(docs).collect()}
     # Empty and null are the same text; signs without a word are equal only to themselves.
     assert got[1] == 0 and got[5] == 4 and got[8] == 7 and not {2, 3, 4, 6} & {*got}
+
+
+def test_fingerprints_by_brute_force():
+    """Word hashes, signs of sums and minimum hashes again, one text at a time."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m64
+        x = (x ^ x >> 29) * 0xC4CEB9FE1A85EC53 & m64
+        return x ^ x >> 33
+
+    def word(b):
+        h = mix(int.from_bytes(b[:8], "little") + len(b) * 0x9E3779B97F4A7C15 & m64)
+        for i in range(8, len(b), 8):
+            h = mix(h * 0x9E3779B97F4A7C15 + int.from_bytes(b[i : i + 8], "little") & m64)
+        return h
+
+    base = 0x5851F42D4C957F2D | 1
+    gram = lambda hs: mix(sum(h * pow(base, i, 1 << 64) for i, h in enumerate(hs)) & m64)
+    seeds = [mix(i * 0x9E3779B97F4A7C15 & m64) for i in range(1, S.BANDS * S.PER_BAND + 1)]
+    odd = [mix(x) | 1 for x in seeds]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "a", "extraordinarily", "antidisestablishmentarian"]) + str(rng.randint(0, 30)) for _ in range(n)) for n in (3, 4, 17, 90)]
+    fp, keys = S.fingerprints(pa.array(texts))
+    for k, text in enumerate(texts):
+        hs = [word(w.encode()) for w in text.split()]
+        kinds = set(hs)
+        for half in range(S.BITS // 64):
+            each = [mix(h + half * 0x632BE59BD9B4E019 & m64) for h in kinds]
+            assert int(fp[k, half]) == sum((2 * sum(x >> bit & 1 for x in each) > len(kinds)) << bit for bit in range(64))
+        grams = [gram(hs[i : i + S.SHINGLE]) for i in range(len(hs) - S.SHINGLE + 1)]
+        for b in range(S.BANDS):
+            key = b
+            for s in range(b * S.PER_BAND, (b + 1) * S.PER_BAND):
+                key = mix(key * 31 + min((g ^ seeds[s]) * odd[s] & m64 for g in grams) & m64)
+            assert int(keys[k, b]) == key
+
+
+def test_many_copies_are_no_one_row(spark):
+    """Half of all rows are one text, and a tenth near copies of it."""
+    words = [f"w{i}q" for i in range(120)]
+    rng = random.Random(1)
+    texts = [" ".join(words)] * 3000 + [edited(words, rng, 0.03) for _ in range(600)] + [" ".join(rng.sample(words, 100)) for _ in range(50)]
+    docs = documents(spark, texts)
+    prints = S.fingerprint_table(docs)
+    kinds = S._kinds(prints)
+    assert kinds.agg(F.sum("n")).first()[0] == len(texts) and kinds.agg(F.max("n")).first()[0] >= 3000
+    got = {r.doc_id: r.kept_doc_id for r in S.near_duplicates(docs).collect()}
+    assert all(got[k] == 0 for k in range(1, 3000)) and sum(got.get(k) == 0 for k in range(3000, 3600)) >= 590
