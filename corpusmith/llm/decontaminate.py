@@ -11,14 +11,17 @@ at least THRESHOLD of the item's distinct shingles.
 3. Prefix: an item of s shingles that must share c = ceil(THRESHOLD * s) needs
    one of its s - c + 1 rarest in the window, so only those are joined.
 4. Bounds: a document needs c shingles in all (length), and c of the item's
-   within a window's reach on both sides of a joined place (position).
+   within a window's reach on both sides of a joined place (position). Only the
+   pairs of document and item that the prefixes joined go on from here.
 5. Verification: every window that begins at one of the item's places and holds
    a joined one; its distinct shingles are counted exactly.
 
 Defined results: null or wordless items and documents match nothing; a window
 ends at the document's end, so a document shorter than the item is one window;
-repeated items give a row each (distinct item_id); repeated rows of documents
-are one document; empty tables give no row; other columns are not read.
+items of equal texts give a row each (distinct item_id), rows of one item_id are one
+item of all their shingles; an item without an id matches nothing; a document without
+one is found with a null doc_id; repeated rows of documents are one document; very
+long texts are searched whole; empty tables give no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,10 +105,9 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, lim
     n = distinct.count()
     wanted = None
     if n * 8 <= limit:
-        by_k: dict[int, list[int]] = {k: [] for k in lengths}
-        for r in distinct.collect():
-            by_k[r.k].append(r.h)
-        wanted = {k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in by_k.items()}
+        table = distinct.toArrow()
+        k, h = table.column("k").to_numpy(), table.column("h").to_numpy().view(np.uint64)
+        wanted = {x: np.sort(h[k == x]) for x in lengths}
     places = map_arrow(keyed(docs).withColumn("text", F.lower("text")), _Places(lengths, wanted), "did long, th long, room int, pos int, k int, h long")
     if wanted is None:
         places = places.join(distinct, ["k", "h"], "left_semi")
@@ -118,8 +120,11 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, lim
     # The prefix join, with the bound on length.
     joined = places.join(checked_broadcast(prefix, 24), ["k", "h"]).select(*KEY, "item_id", F.col("pos").alias("anchor"), "room")
     anchors = written(joined.groupBy(*KEY, "item_id").agg(F.sort_array(F.collect_set("anchor")).alias("anchors")), "anchors")
-    bounded = places.join(checked_broadcast(item_set, 40), ["k", "h"]).where("room >= c").select(*KEY, "item_id", "pos", "h", "s", "c", "window")
-    # Only candidates' places, grouped for verification.
+    pairs = anchors.select(*KEY, "item_id")
+    # Only places of the joined documents are matched with items again, and only joined pairs are grouped.
+    of_pairs = places.join(pairs.select(*KEY).distinct(), [*KEY], "left_semi")
+    bounded = of_pairs.join(checked_broadcast(item_set, 40), ["k", "h"]).where("room >= c").select(*KEY, "item_id", "pos", "h", "s", "c", "window")
+    bounded = bounded.join(pairs, [*KEY, "item_id"], "left_semi")
     grouped = bounded.groupBy(*KEY, "item_id", "s", "c", "window").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("places"))
     both = grouped.where(F.size("places") >= F.col("c")).join(anchors, [*KEY, "item_id"])
     verified = map_arrow(both, _verified, "did long, th long, item_id long, n_shared int, n_shingles int, start int")
@@ -175,15 +180,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles and start_word of the best window."""
+    """doc_id, item_id, n_shared, n_shingles and start_word of the best window. Written; drop_written of it drops it."""
     m = matches(docs, items, threshold)
-    return m.select(doc_id(), "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_shingles").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start_word"))
+    out = m.select(doc_id(), "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_shingles").cast("long").alias("n_shingles"), F.col("start").cast("long").alias("start_word"))
+    out.shared_path = m.shared_path
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that no item contaminates."""
-    gone = written(matches(docs, items, threshold).select(*KEY).distinct(), "contaminated_documents")
-    return packed(docs).join(checked_broadcast(gone, 16), [*KEY], "left_anti").select("row.*")
+    """The rows of docs, with all their columns, that no item contaminates. drop_written of it drops the table of those that go."""
+    found = matches(docs, items, threshold)
+    gone = written(found.select(*KEY).distinct(), "contaminated_documents")
+    drop_written(found)
+    out = packed(docs).join(checked_broadcast(gone, 16), [*KEY], "left_anti").select("row.*")
+    out.shared_path = gone.shared_path
+    return out
 
 
 def contaminated_sql(docs: str = "documents", items: str = "benchmark", threshold: float = THRESHOLD) -> str:
