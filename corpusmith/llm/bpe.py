@@ -10,6 +10,9 @@ outside of such a window are the same in any surroundings, so the join equals
 the encoding of the joined text. If no such place exists on one side, the
 window takes that whole side.
 
+Leaves and windows, which are what is encoded, go through a public byte-pair
+library with the vocabulary's merges; a text of up to LEAF characters is one leaf.
+
 Decoding joins the bytes of leaf-sized runs of tokens up the tree.
 
 Defined results: a null text has null tokens and an empty text an empty list;

@@ -9,9 +9,11 @@ reaches over a unit's end, so the sum factors into one forward pass a unit, and
 each distinct word of a slice of texts is passed once.
 
 Defined results: a null text, or one without a word, has a null language and a
-likelihood of 0; a tie goes to the language first in order; rows without a
-label, or with a null text, don't train; without any labelled row every language
-is null; repeated rows are scored each, but of rows with one doc_id and label one trains; other columns are not read.
+likelihood of 0; a tie goes to the language first in order; rows without a label,
+or with a null text or doc_id, don't train, but are scored; without any labelled
+row every language is null; repeated rows are scored each, but of rows with one
+doc_id and label one trains; very long texts and words are scored, and train,
+whole; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,8 +1,10 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once for a document. The ledger keeps the measurements
-and one bit a failed rule, so that a policy is a mask, a new policy is another
-mask over the same ledger, and an ablation is a sum over (fail_bits & mask).
+Every rule is evaluated once for a document and the ledger is stored: the
+measurements and one bit a failed rule. A policy is a mask, a new policy is another
+mask over the stored ledger, and an ablation is a sum over (fail_bits & mask).
+``stored_rows`` stores each document's row beside its ledger, so that a policy
+filters rows without a join.
 
 Terms of abuse come from two places: a fixed general list, and a list learned
 from labelled documents (``toxic_terms``), since no list covers every language.
@@ -10,7 +12,10 @@ from labelled documents (``toxic_terms``), since no list covers every language.
 Defined results: a null or empty text fails ``empty`` and measures 0 everywhere
 (no other rule looks at it); repeated rows get a ledger row each; a null doc_id
 stays null; other columns are not read, so their names cannot clash; an empty
-table gives an empty ledger; without labels only the fixed list counts.
+table gives an empty ledger; very long texts are measured whole, and no rule asks
+for a length. Without labels only the fixed list counts; of several labels of one
+doc_id the greatest counts, a label with a null doc_id or toxic doesn't; the bound
+takes the least md5(doc_id), which no two doc_ids share.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmith.functions.shared import written
+
 #: General English terms of abuse; a parameter of ledger().
 INSULTS = ("arsehole", "asshole", "bastard", "bitch", "bullshit", "cretin", "cunt", "dickhead", "disgusting", "dumbass", "fucking", "idiot", "idiotic", "imbecile", "jackass", "loser", "lowlife", "moron", "moronic", "pathetic", "prick", "retard", "scum", "scumbag", "slut", "stupid", "subhuman", "trash", "twat", "vermin", "wanker", "whore", "worthless")
 #: Labelled documents that toxic_terms reads at most, those whose md5(doc_id) is least.
@@ -39,16 +46,17 @@ class Rule(NamedTuple):
 RULES = (
     Rule("empty", "n_words = 0"),
     Rule("short", "n_words > 0 and n_words < 50"),
-    Rule("long", "n_words > 1000000"),
     Rule("word_length", "n_words > 0 and (n_solid < 2 * n_words or n_solid > 12 * n_words)"),
     Rule("symbols", "n_symbols * 2 > n_words and n_words > 0"),
     Rule("bars", "n_bars * 5 > n_words"),
     Rule("shouting", "n_upper * 2 > n_letters"),
     Rule("no_letters", "n_words >= 10 and n_letters * 2 < n_solid"),
     Rule("repeated_lines", "n_lines >= 4 and n_distinct_lines * 2 < n_lines"),
-    Rule("repeated_words", "n_words >= 20 and n_distinct_words * 5 < least(n_words, 1200)"),
+    # Distinct words grow with the root of a text's length: the second bound goes on from where the first ends, at 1,200 words.
+    Rule("repeated_words", "n_words >= 20 and n_distinct_words * 5 < n_words and n_distinct_words * n_distinct_words < 48 * n_words"),
     Rule("placeholder", "n_placeholder > 0"),
-    Rule("abuse", "(n_abuse >= 2 or n_abuse = 1 and n_words < 60) and n_abuse * 500 > n_words"),
+    # Rates: one term in 60 words, or two and more at one in 500.
+    Rule("abuse", "n_abuse * 60 > n_words or n_abuse >= 2 and n_abuse * 500 > n_words"),
 )
 BIT = {r.name: 1 << k for k, r in enumerate(RULES)}
 
@@ -57,10 +65,11 @@ def mask(*names: str) -> int:
     return sum(BIT[n] for n in names)
 
 
-#: Versioned policies. v1 also drops short texts, as rules for web pages do; v2, the one in use, keeps them.
+#: Versioned policies. v1 also drops short texts, as rules for web pages do, and those of very short or long words, which drops
+#: languages written without spaces; v2, the one in use, keeps both.
 POLICIES = {
     "v1": mask(*BIT),
-    "v2": mask("empty", "long", "symbols", "bars", "shouting", "no_letters", "repeated_lines", "repeated_words", "placeholder", "abuse"),
+    "v2": mask("empty", "symbols", "bars", "shouting", "no_letters", "repeated_lines", "repeated_words", "placeholder", "abuse"),
 }
 PRODUCTION = "v2"
 PLACEHOLDERS = ("lorem ipsum", "Lorem ipsum", "Lorem Ipsum", "LOREM IPSUM", "enable javascript", "enable JavaScript", "enable Javascript")
@@ -155,13 +164,22 @@ def ablation(table: DataFrame, policies: dict[str, int] | None = None) -> DataFr
     )
 
 
-def keep(docs: DataFrame, terms: Iterable[str] = INSULTS, policy: str = PRODUCTION) -> DataFrame:
-    """The rows of docs, with all their columns, that the policy keeps.
-
-    The columns of docs travel in one struct, so no name of theirs can clash with a measurement.
-    """
+def stored_rows(docs: DataFrame, terms: Iterable[str] = INSULTS) -> DataFrame:
+    """The ledger with each row of docs beside it, in the struct row, so that none of its names can clash. Written."""
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("t"))
-    return _measured(held, terms).where(F.expr(f"(({_BITS}) & {POLICIES[policy]}) = 0")).select("row.*")
+    return written(_measured(held, terms).withColumn("fail_bits", F.expr(_BITS).cast("long")), "ledger")
+
+
+def kept_rows(stored: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """The rows, with all their columns, that the policy keeps, by the stored bits; drop_written of it drops what is stored."""
+    out = stored.where(F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0).select("row.*")
+    out.shared_path = stored.shared_path
+    return out
+
+
+def keep(docs: DataFrame, terms: Iterable[str] = INSULTS, policy: str = PRODUCTION) -> DataFrame:
+    """As kept_rows, of a ledger made now."""
+    return kept_rows(stored_rows(docs, terms), policy)
 
 
 def terms_sql(docs: str = "documents", labels: str = "labels", bound: int = LABELLED_BOUND) -> str:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmith.functions.shared import drop_written, written
+
 from . import bpe, decontaminate, hmm, language_id, quality_rules, quotes, simhash, suffix_array, url_filter, zip_warc
 
 
@@ -21,12 +23,25 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered_urls(_t(spark, sf_dir, "pages"))
 
 
+#: The ledger that an application stored last, by directory.
+_LEDGERS: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str, anew: bool = False) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _LEDGERS:
+        if key in _LEDGERS:
+            drop_written(_LEDGERS[key])
+        _LEDGERS[key] = written(quality_rules.ledger(_t(spark, sf_dir, "documents"), abuse_terms(spark, sf_dir)), "ledger")
+    return _LEDGERS[key]
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_policies(quality_rules.ledger(_t(spark, sf_dir, "documents"), abuse_terms(spark, sf_dir)))
+    return quality_rules.apply_policies(stored_ledger(spark, sf_dir, anew=True))
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.ablation(quality_rules.ledger(_t(spark, sf_dir, "documents"), abuse_terms(spark, sf_dir)))
+    return quality_rules.ablation(stored_ledger(spark, sf_dir))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +73,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(_t(spark, sf_dir, "conversations"))
 
 
+def chat_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(quotes.quoting(_t(spark, sf_dir, "conversations")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_t(spark, sf_dir, "documents"))
 
@@ -67,7 +86,7 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_quality_rules, quality_ablation, op3_lm_scoring, lm_training_history, op4_decontamination, op5_language_id, op6_simhash, op7_suffix_array, op8_chat_formatting, op9_bpe, op10_zip_warc)
+    ops = (op1_url_filter, op2_quality_rules, quality_ablation, op3_lm_scoring, lm_training_history, op4_decontamination, op5_language_id, op6_simhash, op7_suffix_array, op8_chat_formatting, chat_quotation_links, op9_bpe, op10_zip_warc)
     return {f.__name__: f for f in ops}
 
 
@@ -78,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.contaminated_sql(),
         "op7_suffix_array": suffix_array.runs_sql(),
         "op8_chat_formatting": quotes.reply_ordered_sql(),
+        "chat_quotation_links": quotes.quoting_sql(),
         "op10_zip_warc": zip_warc.RECORDS_SQL,
     }

@@ -19,8 +19,8 @@ message followed by its answers in turn order, without the quotes.
 
 Defined results: a null text is empty; rows with a null conv_id or turn have no
 place in a conversation and are left out; repeated rows (same conv_id and turn)
-are one message, the one with the least role and text (nulls last); a message of
-quotes only stays, with an empty text; attribution lines ("... wrote:") before a
+are one message, the one with the least role and text (nulls last); very long texts
+are taken apart whole; a message of quotes only stays, with an empty text; attribution lines ("... wrote:") before a
 quote are dropped with it; other columns are not read; an empty table gives an
 empty one.
 """
@@ -197,9 +197,29 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     return joined.select("conv_id", "position", "turn", "parent", "depth", "role", "n_quotes", "body")
 
 
+#: A table of replies that quote, made of any conversations, in words that Spark and DuckDB both read: by message, no quote, one of a
+#: whole earlier message, of 80 characters of it, of all of it at the second level, with an attribution line, or of a part and the whole.
+QUOTING_SQL = """
+select conv_id, turn, role, case when k = 0 or (conv_id + k) % 6 = 0 then text
+  when (conv_id + k) % 6 = 1 then '> ' || replace(q, chr(10), chr(10) || '> ') || chr(10) || coalesce(text, '')
+  when (conv_id + k) % 6 = 2 then '> ' || replace(substring(q, 5, 80), chr(10), chr(10) || '> ') || chr(10) || coalesce(text, '')
+  when (conv_id + k) % 6 = 3 then '>> ' || replace(q, chr(10), chr(10) || '>> ') || chr(10) || coalesce(text, '')
+  when (conv_id + k) % 6 = 4 then 'They wrote:' || chr(10) || '> ' || replace(q, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(text, '')
+  else '> ' || replace(substring(q, 5, 80), chr(10), chr(10) || '> ') || chr(10) || 'Yes.' || chr(10) || '> > ' || replace(q, chr(10), chr(10) || '> > ') || chr(10) || coalesce(text, '') end as text
+from (select a.conv_id, a.turn, a.role, a.text, a.k, coalesce(b.text, '') as q from
+  (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn, role nulls last, text nulls last) - 1 as k from {source} where conv_id is not null and turn is not null) a
+  left join (select conv_id, text, row_number() over (partition by conv_id order by turn, role nulls last, text nulls last) - 1 as k from {source} where conv_id is not null and turn is not null) b
+  on a.conv_id = b.conv_id and b.k = case when a.k > 0 then (a.conv_id * 7 + a.k * 3) % a.k else -1 end)"""
+
+
+def quoting(conversations: DataFrame) -> DataFrame:
+    """The conversations with quotes of earlier messages put before most messages, to see linking at work."""
+    return conversations.sparkSession.sql(QUOTING_SQL, source=conversations.select("conv_id", "turn", "role", "text"))
+
+
 def reply_ordered_sql(source: str = "conversations") -> str:
-    """The same as DuckDB SQL, with a recursive query for the tree. It knows whole quotes of level 1 only: no parts, no deeper levels."""
-    norm = r"trim(regexp_replace(lower(t), '[\t\n\f\r ]+', ' ', 'g'))"
+    """The same as DuckDB SQL, pieces by their text, with a recursive query for the tree. source: a table or a query in brackets."""
+    norm = lambda t: rf"trim(regexp_replace(lower({t}), '[\t\n\f\r ]+', ' ', 'g'))"
     level = r"regexp_extract(line, '^(?:[ \t]*>)+')"
     return rf"""
 with recursive m as (select conv_id, turn, role, coalesce(text, '') as text from (
@@ -210,14 +230,25 @@ l2 as (select *, level < coalesce(lead(level) over (partition by conv_id, turn o
 l3 as (select *, (level <> coalesce(lag(level) over (partition by conv_id, turn order by n), -1))::int as new from l2 where not announces),
 l4 as (select *, sum(new) over (partition by conv_id, turn order by n) as run from l3),
 p as (select conv_id, turn, level, run, string_agg(body, chr(10) order by n) as passage from l4 group by all),
-u as (select distinct conv_id, turn as source, md5(t) as h from (select conv_id, turn, {norm} as t from (
-  select conv_id, turn, unnest(list_concat([passage], regexp_split_to_array(passage, '\n[ \t]*\n'), regexp_split_to_array(passage, '\n'))) as t from p where level = 0)) where t <> ''),
-q as (select conv_id, turn, run, md5(t) as h from (select conv_id, turn, run, {norm.replace('(t)', '(passage)')} as t from p where level = 1) where t <> ''),
-hits as (select q.conv_id, q.turn, source, count(distinct run) as n from q join u on q.conv_id = u.conv_id and q.h = u.h where source < q.turn group by all),
-best as (select conv_id, turn, source, n as n_quotes from (select *, row_number() over (partition by conv_id, turn order by n desc, source desc) as k from hits) where k = 1),
+ws as (select conv_id, turn, level, run, list_filter(string_split({norm('passage')}, ' '), lambda x: x <> '') as ws from p),
+pieces as (
+  select conv_id, turn, level, run, 't' || t as h, 1 as whole from (select *, {norm('passage')} as t from p) where t <> '' union all
+  select conv_id, turn, level, run, 't' || t, 0 from (select conv_id, turn, level, run, {norm('t')} as t from (
+    select conv_id, turn, level, run, unnest(list_concat(regexp_split_to_array(passage, '\n[ \t]*\n'), string_split(passage, chr(10)))) as t from p)) where t <> '' union all
+  select conv_id, turn, level, run, 'w' || unnest(list_transform(range(0, len(ws) - {WINDOW} + 1), lambda i: array_to_string(ws[i + 1:i + {WINDOW}], ' '))), 0 from ws where len(ws) >= {WINDOW}),
+q as (select conv_id, turn, level, run, h, max(whole) as whole from pieces where level > 0 group by all),
+u as (select distinct conv_id, turn as source, h from pieces where level = 0),
+hits as (select q.conv_id, q.turn, level, run, source, max(whole) as whole, count(*) as n from q join u on q.conv_id = u.conv_id and q.h = u.h where source < q.turn group by all),
+votes as (select conv_id, turn, level, source, sum(whole) as wholes, sum(case when whole = 1 then 0 else n end) as n_some, count(*) as n from hits group by all),
+best as (select conv_id, turn, source, n as n_quotes from (select *, row_number() over (partition by conv_id, turn order by level, wholes desc, n_some desc, source desc) as k from votes) where k = 1),
 b as (select conv_id, turn, trim(string_agg(passage, chr(10) order by run), ' ' || chr(10) || chr(9)) as body from p where level = 0 group by all),
 r as (select m.conv_id, m.turn, m.role, coalesce(source, before) as parent, coalesce(n_quotes, 0) as n_quotes, coalesce(body, '') as body
   from (select *, lag(turn) over (partition by conv_id order by turn) as before from m) m left join b on m.conv_id = b.conv_id and m.turn = b.turn left join best on m.conv_id = best.conv_id and m.turn = best.turn),
 t as (select conv_id, turn, [turn] as path from r where parent is null union all
   select r.conv_id, r.turn, list_append(t.path, r.turn) from r join t on r.conv_id = t.conv_id and r.parent = t.turn)
 select r.conv_id, row_number() over (partition by r.conv_id order by path) - 1 as position, r.turn, parent, len(path) - 1 as depth, role, n_quotes, body from r join t on r.conv_id = t.conv_id and r.turn = t.turn"""
+
+
+def quoting_sql(source: str = "conversations") -> str:
+    """reply_ordered of quoting as DuckDB SQL."""
+    return reply_ordered_sql("(" + QUOTING_SQL.format(source=source) + ")")

@@ -63,3 +63,33 @@ def test_awkward_rows(spark, tmp_path):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     save(spark, tmp_path, documents=awkward(spark), labels=labels)
     assert_same(Q.apply_policies(Q.ledger(awkward(spark))), tmp_path, Q.policies_sql())
+
+
+@pytest.mark.parametrize("n", [1100, 1300, 5000])
+def test_distinct_words_have_no_cut(spark, n):
+    """On both sides of 1,200 words: some more distinct words than the bound pass, some fewer fail."""
+    bound = min(n / 5, (48 * n) ** 0.5)
+    for kinds, fails in ((int(bound * 0.95), True), (int(bound * 1.05), False)):
+        text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in (k % kinds for k in range(n)))
+        assert ("repeated_words" in bits(spark, text)) == fails
+
+
+def test_long_texts_pass(spark):
+    a = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a[i // 17576 % 26] + a[i // 676 % 26] + a[i // 26 % 26] + a[i % 26] for i in range(1_000_100))
+    assert bits(spark, text) == set() and Q.keep(documents(spark, [text])).count() == 1
+
+
+@pytest.mark.parametrize("n", [58, 61, 100])
+def test_abuse_is_a_rate(spark, n):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
+    assert ("abuse" in bits(spark, " ".join(["idiot", *words[1:]]))) == (n < 60)
+    assert "abuse" in bits(spark, " ".join(["idiot", "moron", *words[2:]]))
+
+
+def test_policies_read_what_is_stored(spark):
+    docs = documents(spark, [PROSE, "same " * 80, "short text"])
+    stored = Q.stored_rows(docs)
+    assert {r.doc_id for r in Q.kept_rows(stored).collect()} == {r.doc_id for r in Q.keep(docs).collect()}
+    assert {r.n_kept for r in Q.ablation(stored).where("policy = 'v2'").collect()} == {2}
+    assert Q.kept_rows(stored, "v1").count() == 1 and Q.kept_rows(stored).columns == docs.columns

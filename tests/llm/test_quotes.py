@@ -93,7 +93,7 @@ def test_awkward_rows(spark):
     assert next(r for r in rows if r.conv_id == 1 and r.turn == 1).n_quotes == 1
 
 
-def test_parts_and_deeper_levels(spark):
+def test_parts_and_deeper_levels(spark, tmp_path):
     first = "one alpha\ntwo beta\nthree gamma\nfour delta"
     paragraphs = "p one\nmore one\n\np two\nmore two\n\np three"
     sentence = "We met on Monday. The plan is to ship the new parser by the end of May. Nobody objected."
@@ -109,7 +109,20 @@ def test_parts_and_deeper_levels(spark):
     rows += [(8, 0, first), (8, 1, "two beta\nno"), (8, 2, other), (8, 3, "> two beta\n> three gamma\nyes")]
     rows += [(9, 0, sentence), (9, 1, other), (9, 2, "> Nobody objected.\nyes")]
     table = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], SCHEMA)
+    save(spark, tmp_path, conversations=table)
+    assert_same(Q.reply_ordered(table), tmp_path, Q.reply_ordered_sql())
     got = {(r.conv_id, r.turn): (r.parent, r.n_quotes) for r in Q.reply_ordered(table).collect()}
     assert [got[c, 2] for c in range(1, 6)] == [(0, 1)] * 5
     # Both quotes of conversation 6: one whole of 0, one part of 1.
     assert got[6, 2] == (0, 1) and got[7, 2] == (0, 1) and got[8, 3] == (0, 1) and got[9, 2] == (1, 0)
+
+
+def test_a_table_of_quotes(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    save(spark, tmp_path, conversations=table)
+    made = Q.quoting(table)
+    assert_same(made, tmp_path, Q.QUOTING_SQL.format(source="conversations"))
+    assert made.where("text like '>%'").count() > 0.4 * made.count()
+    rows = Q.reply_ordered(made)
+    assert_same(rows, tmp_path, Q.quoting_sql())
+    assert rows.where("n_quotes > 0").count() > 0.4 * made.count()
