@@ -6,7 +6,9 @@ the columns of their docs. run() writes each stage's rows and reads them again.
 
 Null, empty and repeated rows, ties and clashing names have the results that
 the operators' docstrings define: an empty or null text fails the quality
-rules; of repeated rows one stays; a text cut to nothing goes.
+rules; of repeated rows one stays; a text cut to nothing goes; very long texts pass
+every stage whole. Tables that a stage leaves for its result are dropped once that
+is written.
 """
 
 from __future__ import annotations
@@ -54,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        after = written(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        after = written(made, name)
+        drop_written(made)
         if before is not None:
             drop_written(before)
         docs = before = after

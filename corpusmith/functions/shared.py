@@ -49,9 +49,13 @@ def drop_written(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+#: What a row takes in a broadcast hash table beside its own bytes: header, null bits, pointers and slots, measured at some 120 bytes.
+ROW_OVERHEAD = 120
+
+
 def small_enough(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a written table, by its counted rows, may be sent to every executor."""
-    return table.count() * row_bytes <= limit
+    return table.count() * (row_bytes + ROW_OVERHEAD) <= limit
 
 
 def checked_broadcast(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -87,8 +87,8 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_BOUND)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = rows.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
     per_word = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") >= MIN_TOXIC_DOCS)
-    size = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_bad"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("n_good"))
-    kept = per_word.crossJoin(F.broadcast(size)).where(F.col("bad") * (F.col("n_good") + 1) >= MIN_RATIO * (F.col("good") + 1) * F.col("n_bad"))
+    n_bad, n_good = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    kept = per_word.where(F.col("bad") * (n_good + 1) >= MIN_RATIO * (F.col("good") + 1) * n_bad)
     return sorted(r.word for r in kept.select("word").collect())
 
 
@@ -149,11 +149,12 @@ def ablation(table: DataFrame, policies: dict[str, int] | None = None) -> DataFr
     counts = table.groupBy("fail_bits").agg(F.count("*").alias("n"))
     rows = [(v, r.name, BIT[r.name], m) for v, m in (policies or POLICIES).items() for r in RULES if m & BIT[r.name]]
     grid = table.sparkSession.createDataFrame(rows, "policy string, rule string, bit long, mask long")
+    every = F.array(*(F.struct(F.lit(v).alias("policy"), F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask")) for v, name, bit, m in rows))
     active = F.col("fail_bits").bitwiseAND(F.col("mask"))
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    return (
-        F.broadcast(grid)
-        .join(counts, F.lit(True), "left")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sums = (
+        counts.select("fail_bits", "n", F.explode(every).alias("g"))
+        .select("fail_bits", "n", "g.*")
         .groupBy("policy", "rule")
         .agg(
             total(active.bitwiseAND(F.col("bit")) != 0).alias("n_fail"),
@@ -162,6 +163,9 @@ def ablation(table: DataFrame, policies: dict[str, int] | None = None) -> DataFr
             total(active.bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("n_kept_without"),
         )
     )
+    # A row for each rule of an empty ledger too.
+    names = ("n_fail", "n_only", "n_kept", "n_kept_without")
+    return grid.select("policy", "rule").join(sums, ["policy", "rule"], "left").select("policy", "rule", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
 
 
 def stored_rows(docs: DataFrame, terms: Iterable[str] = INSULTS) -> DataFrame:

@@ -1,8 +1,9 @@
 """Integer codecs of inverted lists, and what lists cost under them.
 
-Storage itself is Parquet's. These encode and decode single lists exactly (64
-bits throughout), and give sizes: var-byte and packed sizes as built-in
-expressions, simple9 by an Arrow pass, since its words are cut greedily.
+These encode and decode single lists exactly (64 bits throughout), and give
+sizes: var-byte and packed sizes as built-in expressions, simple9 by an Arrow
+pass over all lists of a batch side by side, since its words are cut greedily.
+corpusmith.operators.blocks holds tables of encoded chunks, blocks and runs.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmith.functions.ship import map_arrow
-from corpusmith.plans.index import CHUNK
+from corpusmith.plans import ranges
+from corpusmith.plans.index import numbered
 
 #: Selectors of simple9: items in a word and bits of each.
 LAYOUTS = ((28, 1), (14, 2), (9, 3), (7, 4), (5, 5), (4, 7), (3, 9), (2, 14), (1, 28))
@@ -102,12 +103,12 @@ def _layouts(values: Sequence[int]) -> Iterator[tuple[int, int, int]]:
 
 
 def simple9(values: Sequence[int]) -> bytes:
-    """A var-byte count, then words of a selector in the top four bits and the items from the low bits up."""
+    """A var-byte count, then words of a selector in the low four bits and the items from there up."""
     out = bytearray(varbyte(len(values)))
     for selector, lo, hi in _layouts(values):
-        word, bits = selector << 28, LAYOUTS[selector][1]
+        word, bits = selector, LAYOUTS[selector][1]
         for i, v in enumerate(values[lo:hi]):
-            word |= v << i * bits
+            word |= v << 4 + i * bits
         out += struct.pack("<I", word)
     return bytes(out)
 
@@ -117,12 +118,44 @@ def unsimple9(data: bytes, at: int = 0) -> tuple[list[int], int]:
     out: list[int] = []
     while len(out) < n:
         (word,) = struct.unpack_from("<I", data, at)
-        items, bits = LAYOUTS[word >> 28]
-        out += [word >> i * bits & (1 << bits) - 1 for i in range(min(items, n - len(out)))]
+        items, bits = LAYOUTS[word & 15]
+        out += [word >> 4 + i * bits & (1 << bits) - 1 for i in range(min(items, n - len(out)))]
         at += 4
     return out, at
 
 
+def simple9_words(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many lists, values[at[i] : at[i + 1]] each, and where each list's words begin, and the end."""
+    values = np.asarray(values, np.int64)
+    if len(values) and int(values.max()) >= SIMPLE9_LIMIT:
+        raise ValueError(f"simple9 holds no value of 2^28 or more: {int(values.max())}")
+    n, end = len(values), np.repeat(at[1:], np.diff(at))
+    # For each place the first layout that the values from there fill or that holds all the rest of the list.
+    chosen = np.full(n, len(LAYOUTS) - 1, np.int8)
+    for selector in range(len(LAYOUTS) - 2, -1, -1):
+        items, bits = LAYOUTS[selector]
+        wide = np.r_[0, np.cumsum(values >= 1 << bits)]
+        stop = np.minimum(np.arange(n) + items, end)
+        chosen[wide[stop] == wide[:-1]] = selector
+    items, bits = (np.array(x) for x in zip(*LAYOUTS))
+    now, of = at[:-1][np.diff(at) > 0], np.flatnonzero(np.diff(at) > 0)
+    starts, owners = [], []
+    while len(now):
+        starts.append(now)
+        owners.append(of)
+        after = now + items[chosen[now]]
+        go = after < at[of + 1]
+        now, of = after[go], of[go]
+    start = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+    selector = chosen[start].astype(np.int64)
+    words = selector.copy()
+    stop = np.minimum(start + items[selector], end[start]) if len(start) else start
+    for i in range(LAYOUTS[0][0]):
+        some = np.flatnonzero(start + i < stop)
+        words[some] |= values[start[some] + i] << 4 + i * bits[selector[some]]
+    return words.astype("<u4"), np.searchsorted(start, at)
+
+
 def encode_chunk(doc_ids: Sequence[int], freqs: Sequence[int]) -> bytes:
     return delta(doc_ids, simple9) + pack(freqs)
 
@@ -206,6 +239,16 @@ def decode_lexicon(data: bytes) -> list[LexiconEntry]:
     return out
 
 
+def plain_chunk(doc_ids: Sequence[int], freqs: Sequence[int]) -> bytes:
+    """The debugging text of a chunk: ids and frequencies, a line each."""
+    return (" ".join(map(str, doc_ids)) + "\n" + " ".join(map(str, freqs))).encode()
+
+
+def read_plain_chunk(data: bytes) -> tuple[list[int], list[int]]:
+    ids, _, freqs = data.partition(b"\n")
+    return [int(x) for x in ids.split()], [int(x) for x in freqs.split()]
+
+
 #: name: (encode, decode) of an ascending list of ids.
 CODECS = {
     "delta_packed": (delta, lambda data: undelta(data)[0]),
@@ -224,15 +267,12 @@ def varbyte_size(c: Column) -> Column:
 
 
 def varbyte_hex(c: Column) -> Column:
-    """The bytes of varbyte() in hexadecimal."""
+    """The bytes of varbyte() in hexadecimal, for any number of 63 bits."""
     n = varbyte_size(c)
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), (n - 1).cast("int")),
-            lambda i: F.lpad(F.hex(F.floor(c / F.pow(F.lit(128.0), i)).cast("long") % 128 + F.when(i == n - 1, 128).otherwise(0)), 2, "0"),
-        ),
-        "",
-    )
+    # Groups of seven bits by shifts; nine of them hold 63 bits.
+    groups = F.array(*(F.shiftrightunsigned(c, 7 * i).bitwiseAND(F.lit(127)) for i in range(9)))
+    byte = lambda g, i: F.lpad(F.hex(g + F.when(i == n - 1, 128).otherwise(0)), 2, "0")
+    return F.array_join(F.transform(F.slice(groups, F.lit(1), n.cast("int")), byte), "")
 
 
 def packed_size(n: Column, greatest: Column) -> Column:
@@ -243,20 +283,19 @@ def packed_size(n: Column, greatest: Column) -> Column:
 
 
 def gap_encoded(posts: DataFrame) -> DataFrame:
-    """term, doc_id and gap: the distance from the list's last id; the first id itself for the first."""
-    return posts.select("term", "doc_id", F.expr("doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id)").alias("gap"), F.expr("row_number() over (partition by term order by doc_id)").cast("long").alias("k"))
+    """term, doc_id, tf, gap and k: the distance from the list's last id (the first id itself for the first), and the place from 1."""
+    return numbered(posts).select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("prev", F.lit(0))).alias("gap"), "k")
 
 
 def gap_decoded(encoded: DataFrame) -> DataFrame:
     """term and doc_id of rows of term, k and gap."""
-    return encoded.select("term", F.expr("sum(gap) over (partition by term order by k rows between unbounded preceding and current row)").alias("doc_id"))
+    return ranges.numbered(encoded.select("term", F.col("k").alias("place"), "gap"), "place", "gap").select("term", F.col("total").alias("doc_id"))
 
 
 def list_sizes(posts: DataFrame) -> DataFrame:
     """term, n, and bytes of its list under var-byte gaps and under packed gaps and frequencies."""
-    g = gap_encoded(posts).join(posts, ["term", "doc_id"])
     later = F.when(F.col("k") > 1, F.col("gap"))
-    return g.groupBy("term").agg(
+    return gap_encoded(posts).groupBy("term").agg(
         F.count("*").alias("n"),
         F.sum(varbyte_size(F.col("gap"))).alias("varbyte_bytes"),
         (F.max(F.when(F.col("k") == 1, varbyte_size(F.col("gap")))) + packed_size(F.count(later), F.coalesce(F.max(later), F.lit(0)))).alias("packed_bytes"),
@@ -264,28 +303,6 @@ def list_sizes(posts: DataFrame) -> DataFrame:
     )
 
 
-def _simple9_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, freqs = b.column("ids").to_pylist(), b.column("freqs").to_pylist()
-        data = [encode_chunk(i, f) for i, f in zip(ids, freqs)]
-        good = [decode_chunk(d) == (i, f) for d, i, f in zip(data, ids, freqs)]
-        yield pa.RecordBatch.from_arrays([b.column("term"), b.column("chunk_no"), pa.array([len(i) for i in ids], pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(good)], ["term", "chunk_no", "n", "bytes", "exact"])
-
-
-def chunk_sizes(posts: DataFrame, size: int = CHUNK) -> DataFrame:
-    """term, chunk_no, n, bytes under the chunk codec, and whether decoding gives the chunk back."""
-    rank = F.expr("row_number() over (partition by term order by doc_id)")
-    held = posts.withColumn("chunk_no", F.floor((rank - 1) / size).cast("long")).groupBy("term", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
-    return map_arrow(held.select("term", "chunk_no", F.col("l.doc_id").alias("ids"), F.col("l.tf").alias("freqs")), _simple9_rows, "term string, chunk_no long, n long, bytes long, exact boolean")
-
-
-def plain_dump(posts: DataFrame) -> DataFrame:
-    """The debugging text of a list: term and length, ids, frequencies, a line each."""
-    ids = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
-    text = lambda f: F.concat_ws(" ", F.transform(F.col("l"), lambda x: x[f].cast("string")))
-    return posts.groupBy("term").agg(ids.alias("l")).select("term", F.concat_ws("\n", F.concat_ws(" ", "term", F.size("l").cast("string")), text("doc_id"), text("tf")).alias("dump"))
-
-
 def gap_cost(posts: DataFrame) -> DataFrame:
     """n and the sum of log2(gap + 1): what document order is to lower."""
     return gap_encoded(posts).agg(F.count("*").alias("n"), F.round(F.sum(F.log2(F.col("gap") + 1)), 4).alias("bits"))

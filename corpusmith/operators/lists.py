@@ -20,12 +20,33 @@ def load_all(index: Index, term: str) -> DataFrame:
 
 
 def next_geq(index: Index, probes: list[tuple[str, int]]) -> DataFrame:
-    """term, k and the least doc_id >= k in the term's list, null if there is none."""
-    spark = index.postings.sparkSession
-    asked = spark.createDataFrame(probes, "term string, k long")
+    """term, k and the least doc_id >= k in the term's list, null if there is none. The probes go to the lists, not the lists to the probes."""
+    asked = F.broadcast(index.postings.sparkSession.createDataFrame(probes, "term string, k long").distinct())
     lists = index.postings.where(F.col("term").isin(*{t for t, _ in probes})).select("term", "doc_id")
-    joined = asked.join(lists, (asked["term"] == lists["term"]) & (lists["doc_id"] >= asked["k"]), "left")
-    return joined.groupBy(asked["term"], asked["k"]).agg(F.min("doc_id").alias("doc_id"))
+    least = lists.join(asked, "term").where("doc_id >= k").groupBy("term", "k").agg(F.min("doc_id").alias("doc_id"))
+    return asked.join(least, ["term", "k"], "left")
+
+
+class Held:
+    """A list that is kept while it is in use: opened once, cleared or closed when it is done with."""
+
+    def __init__(self, index: Index, term: str):
+        self.term = term
+        self._rows: DataFrame | None = load_all(index, term).persist()
+
+    @property
+    def rows(self) -> DataFrame:
+        if self._rows is None:
+            raise ValueError(f"the list of {self.term!r} is closed")
+        return self._rows
+
+    def clear(self) -> None:
+        """Gives up what executors hold; the next use reads it again."""
+        self.rows.unpersist()
+
+    def close(self) -> None:
+        self.clear()
+        self._rows = None
 
 
 def get_freq(index: Index, probes: list[tuple[str, int]]) -> DataFrame:

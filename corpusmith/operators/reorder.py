@@ -6,22 +6,31 @@ more than ``split_above`` documents are split by a sample: its graph is cut, and
 every document goes to the closer of the two centroids. All such clusters of a
 level are split together by a few joins; a smaller cluster needs no more than
 one task, which takes it to the end.
+
+A cluster is named by its path of halves (r, r0, r1, r00, ...). What lies beside
+it follows from its path: the nearest half to the left or right of any cluster
+that it is in, or the middle of all (r) where there is none. So each half's
+centroid is held once, by its path, and a cluster reads of those beside it the
+terms of its own documents: of others nothing enters, as the lengths of the
+centroids stand on both sides of what is compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions.shared import checked_broadcast, drop_written, written
 from corpusmith.functions.ship import ship
+from corpusmith.plans import ranges
 from corpusmith.plans.index import Index
 
 from .vectors import TF_LIMIT
 
-LEAF, SPLIT_ABOVE, RATIO, SAMPLE_LIMIT, START_SAMPLE, LEVELS = 20, 500, 0.05, 1000, 100, 40
+LEAF, SPLIT_ABOVE, RATIO, SAMPLE_LIMIT, START_SAMPLE = 20, 500, 0.05, 1000, 100
+ROOT = "r"
 
 
 def identity(docs: DataFrame) -> DataFrame:
@@ -109,7 +118,7 @@ def _wide(rows: pd.DataFrame, sides: pd.DataFrame | None) -> tuple[np.ndarray, n
     return ids, x, beside[0], beside[1]
 
 
-def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, ratio: float = RATIO, grow: str = "min", limit: int = TF_LIMIT, seeded: bool = False, levels: int = LEVELS) -> DataFrame:
+def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, ratio: float = RATIO, grow: str = "min", limit: int = TF_LIMIT, seeded: bool = False) -> DataFrame:
     """old_id and new_id (dense from 0) of every document. seeded: samples by hash of the id instead of the first ones. Written."""
     ship(index.docs.sparkSession)
     ids = index.docs.select("doc_id")
@@ -119,9 +128,10 @@ def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, rati
     start = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_SAMPLE)
     n_start = max(1, start.count())
     middle = vectors.join(F.broadcast(start), "doc_id").groupBy("term").agg((F.sum("tf") / n_start).alias("weight"))
-    clusters = written(ids.select("doc_id", F.lit("0").alias("cluster")), "clusters")
-    beside = written(middle.select(F.lit("0").alias("cluster"), F.explode(F.array(F.lit(1), F.lit(2))).alias("side"), "term", "weight"), "centroids")
-    for _ in range(levels):
+    clusters = written(ids.select("doc_id", F.lit(ROOT).alias("cluster")), "clusters")
+    centers = [written(middle.select(F.lit(ROOT).alias("cluster"), "term", "weight"), "centroids")]
+    # A split leaves neither half empty, so this ends; it does so when no cluster is large.
+    while True:
         sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
         large = written(sizes.where(F.col("n") > split_above), "large")
         if large.isEmpty():
@@ -129,20 +139,14 @@ def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, rati
             break
         few = checked_broadcast(large, 64)
         split = _split(clusters.join(few, "cluster"), vectors, ratio, grow, limit, pick)
-        centers = _weighed(split, vectors)
-        swap = _swapped(beside.join(few.select("cluster"), "cluster"), centers)
-        placed = split.join(swap, "cluster").select("doc_id", F.concat("cluster", F.when((F.col("side") == 1) != F.col("swap"), "0").otherwise("1")).alias("cluster"))
+        halves = _weighed(split, vectors)
+        swap = _swapped(halves, _union(centers))
+        half = F.concat("cluster", F.when((F.col("side") == 1) != F.col("swap"), "0").otherwise("1")).alias("cluster")
         rest = clusters.join(few.select("cluster"), "cluster", "left_anti")
-        # The left half has what was left of the cluster on its left and the right half on its right; the right half the other way.
-        turned = centers.join(swap, "cluster").select("cluster", F.when((F.col("side") == 1) != F.col("swap"), 1).otherwise(2).alias("side"), "term", "weight")
-        kept = beside.join(few.select("cluster"), "cluster", "left_anti")
-        old = beside.join(few.select("cluster"), "cluster")
-        outer = old.select(F.concat("cluster", F.when(F.col("side") == 1, "0").otherwise("1")).alias("cluster"), "side", "term", "weight")
-        inner = turned.select(F.concat("cluster", F.when(F.col("side") == 2, "0").otherwise("1")).alias("cluster"), "side", "term", "weight")
-        after = written(rest.select("doc_id", "cluster").unionByName(placed), "clusters")
-        around = written(kept.unionByName(outer.select(*kept.columns)).unionByName(inner.select(*kept.columns)), "centroids")
-        drop_written(clusters, beside, large, split, centers, swap)
-        clusters, beside = after, around
+        after = written(rest.select("doc_id", "cluster").unionByName(split.join(swap, "cluster").select("doc_id", half)), "clusters")
+        centers.append(written(halves.join(swap, "cluster").select(half, "term", "weight"), "centroids"))
+        drop_written(clusters, large, split, halves, swap)
+        clusters = after
 
     def finish(key: tuple, rows: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
         own, x, left, right = _wide(rows, sides)
@@ -150,20 +154,24 @@ def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, rati
         return pd.DataFrame({"cluster": key[0], "place": np.arange(len(own)), "old_id": own[order]})
 
     held = vectors.join(clusters, "doc_id")
-    near = beside.join(clusters.select("cluster").distinct(), "cluster")
+    near = written(_beside(held.select("cluster", "term").distinct(), _union(centers)), "beside")
     local = held.groupBy("cluster").cogroup(near.groupBy("cluster")).applyInPandas(finish, "cluster string, place long, old_id long")
     local = written(local, "places")
     # Clusters are as many as documents / split_above; only their sizes are summed in one order.
     before = local.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = written(local.join(before, "cluster").select("old_id", (F.col("before") + F.col("place")).cast("long").alias("new_id")), "order")
-    drop_written(vectors, clusters, beside, local)
+    drop_written(vectors, clusters, local, near, *centers)
     return out
 
 
+#: name: how an index's documents are put in order; what programs choose from, and where another is plugged in.
+STRATEGIES = {"identity": lambda index: identity(index.docs), "bisect": reorder}
+
+
 def _split(clusters: DataFrame, vectors: DataFrame, ratio: float, grow: str, limit: int, pick) -> DataFrame:
     """doc_id, cluster and side of every document of the large clusters."""
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(pick, "doc_id"))
-    sample = clusters.withColumn("k", rank).where(F.col("k") <= F.least(F.lit(SAMPLE_LIMIT), F.ceil(F.col("n") * ratio))).select("doc_id", "cluster")
+    sample = clusters.withColumn("k", rank).where((F.col("k") <= SAMPLE_LIMIT) & (F.col("k") <= F.ceil(F.col("n") * ratio))).select("doc_id", "cluster")
 
     def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, x, _, _ = _wide(rows, None)
@@ -177,13 +185,20 @@ def _split(clusters: DataFrame, vectors: DataFrame, ratio: float, grow: str, lim
     dots = vectors.join(clusters.select("doc_id", "cluster"), "doc_id").join(centers, ["cluster", "term"]).groupBy("doc_id", "cluster", "side").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
     close = dots.join(size, ["cluster", "side"]).groupBy("doc_id", "cluster").agg(*(F.coalesce(F.max(F.when(F.col("side") == s, F.try_divide("dot", "norm"))), F.lit(0.0)).alias(f"c{s}") for s in (1, 2)))
     sides = clusters.select("doc_id", "cluster").join(close, ["doc_id", "cluster"], "left").select("doc_id", "cluster", F.when(F.coalesce("c1", F.lit(0.0)) > F.coalesce("c2", F.lit(0.0)), 1).otherwise(2).alias("side"))
-    # A cluster whose documents all went to one side is halved by id instead.
-    whole = Window.partitionBy("cluster")
-    n, ones, k = F.count("*").over(whole), F.sum((F.col("side") == 1).cast("int")).over(whole), F.row_number().over(whole.orderBy("doc_id"))
-    fixed = sides.select("doc_id", "cluster", F.when((ones == 0) | (ones == n), F.when(k <= n / 2, 1).otherwise(2)).otherwise(F.col("side")).alias("side"))
-    out = written(fixed, "split")
+    out = written(sides, "split")
     drop_written(cuts, centers)
-    return out
+    tally = out.groupBy("cluster").agg(F.count("*").alias("n"), F.sum((F.col("side") == 1).cast("int")).alias("ones")).where("ones = 0 or ones = n")
+    whole = written(tally.select("cluster", "n"), "whole")
+    if whole.isEmpty():
+        drop_written(whole)
+        return out
+    # A cluster whose documents all went to one side is halved by id instead.
+    few = checked_broadcast(whole, 64)
+    placed = ranges.numbered(out.join(few, "cluster").select(F.col("cluster").alias("term"), "doc_id", "n"), "doc_id")
+    halved = placed.select("doc_id", F.col("term").alias("cluster"), F.when(F.col("k") <= F.col("n") / 2, 1).otherwise(2).alias("side"))
+    fixed = written(out.join(few.select("cluster"), "cluster", "left_anti").select("doc_id", "cluster", "side").unionByName(halved), "split")
+    drop_written(out, whole, placed)
+    return fixed
 
 
 def _weighed(split: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -193,10 +208,32 @@ def _weighed(split: DataFrame, vectors: DataFrame) -> DataFrame:
     return written(sums.join(n, ["cluster", "side"]).select("cluster", "side", "term", (F.col("w") / F.col("m")).alias("weight")), "sides")
 
 
-def _swapped(beside: DataFrame, centers: DataFrame) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _neighbour(side: int) -> Column:
+    """The path of the half to the left (1) or right (2) of a cluster; the root if there is none."""
+    along, other = ("0", "1") if side == 1 else ("1", "0")
+    turned = F.rtrim("cluster", F.lit(along))
+    return F.when(turned == ROOT, turned).otherwise(F.regexp_replace(turned, other + "$", along))
+
+
+def _beside(terms: DataFrame, centers: DataFrame) -> DataFrame:
+    """cluster, side, term and weight: for the terms (cluster, term), what the centroids beside the cluster give them."""
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), _neighbour(s).alias("path")) for s in (1, 2))))
+    asked = terms.select("cluster", "term", sides.alias("at")).select("cluster", "term", "at.side", "at.path")
+    return asked.join(centers.withColumnRenamed("cluster", "path"), ["path", "term"]).select("cluster", "side", "term", "weight")
+
+
+def _swapped(halves: DataFrame, centers: DataFrame) -> DataFrame:
     """cluster and whether its halves change places."""
-    rows = beside.select("cluster", "term", F.concat(F.lit("b"), F.col("side").cast("string")).alias("name"), "weight").unionByName(centers.select("cluster", "term", F.concat(F.lit("m"), F.col("side").cast("string")).alias("name"), "weight"))
+    rows = halves.select("cluster", "term", F.concat(F.lit("m"), F.col("side").cast("string")).alias("name"), "weight")
+    beside = _beside(halves.select("cluster", "term").distinct(), centers)
+    rows = rows.unionByName(beside.select("cluster", "term", F.concat(F.lit("b"), F.col("side").cast("string")).alias("name"), "weight"))
     wide = rows.groupBy("cluster", "term").pivot("name", ["b1", "b2", "m1", "m2"]).agg(F.sum("weight"))
     dot = lambda x, y: F.coalesce(F.sum(F.col(x) * F.col(y)), F.lit(0.0))
-    cos = lambda x, y: F.coalesce(F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y))), F.lit(0.0))
-    return written(wide.groupBy("cluster").agg((~(cos("b1", "m1") * cos("b2", "m2") > cos("b1", "m2") * cos("b2", "m1"))).alias("swap")), "swaps")
+    return written(wide.groupBy("cluster").agg((~(dot("b1", "m1") * dot("b2", "m2") > dot("b1", "m2") * dot("b2", "m1"))).alias("swap")), "swaps")

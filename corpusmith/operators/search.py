@@ -1,7 +1,7 @@
 """AND and OR queries with BM25, top k and explanations.
 
-A query's terms are filtered at the postings scan; lexicon rows and the one-row
-statistics join by broadcast, as they are as few as the terms. Postings hold
+A query's terms are filtered at the postings scan; lexicon rows join by broadcast,
+as they are as few as the terms, and the one row of statistics is two constants. Postings hold
 their document's length, so a query reads its own terms' rows and nothing that
 grows with all documents. The best k come from a bounded sort.
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.tokenize import query_words
 from corpusmith.plans.index import Index
+from corpusmith.sources.corpus import point
 
 K1, B, TOP = 1.2, 0.75, 10
 
@@ -35,9 +36,10 @@ def term_scores(index: Index, query: str) -> DataFrame:
     words = query_words(query)
     posts = index.postings.where(F.col("term").isin(*words)) if words else index.postings.where("false")
     known = F.broadcast(index.lexicon.where(F.col("term").isin(*words)).select("term", "df")) if words else index.lexicon.where("false").select("term", "df")
-    rows = posts.join(known, "term").crossJoin(F.broadcast(index.stats))
-    idf = F.ln((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_length") / F.col("avgdl"))
+    rows = posts.join(known, "term")
+    one = index.stats.first()
+    idf = F.ln((F.lit(one["n_docs"]) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_length") / F.lit(one["avgdl"]).cast("double"))
     return rows.select("doc_id", "term", "tf", (idf * F.lit(K1 + 1) * F.col("tf") / (norm + F.col("tf"))).alias("s"))
 
 
@@ -69,6 +71,8 @@ def explained(index: Index, query: str, best: DataFrame) -> DataFrame:
 
 
 def fetched(best: DataFrame, corpus: DataFrame, docs: DataFrame) -> DataFrame:
-    """The best k with url, length and content: k rows, sent to the store's scan."""
-    held = F.broadcast(best)
-    return docs.join(held, "doc_id").join(corpus.select("doc_id", "content").join(F.broadcast(best.select("doc_id")), "doc_id"), "doc_id").select("doc_id", "url", "doc_length", "score", "content")
+    """The best k with url, length and content. Their ids, k of them, go to both scans as a filter."""
+    rows = best.collect()
+    ids = [r["doc_id"] for r in rows]
+    held = F.broadcast(best.sparkSession.createDataFrame(rows, best.schema))
+    return point(docs, *ids).join(held, "doc_id").join(point(corpus, *ids).select("doc_id", "content"), "doc_id").select("doc_id", "url", "doc_length", "score", "content")

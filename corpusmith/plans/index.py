@@ -1,16 +1,22 @@
-"""The inverted index: four tables, each a plain DataFrame.
+"""The inverted index: tables, each a plain DataFrame.
 
 docs      doc_id, url, doc_length
 postings  term, doc_id, tf, doc_length   sorted by (term, doc_id) over ranges, so a term's rows are few row groups;
                                          the length is held here too, so that a score needs no join with all documents
+lists     the postings with k, the place in the list from 1, and prev, the doc_id before (null at first)
 lexicon   term, df, cf                sorted by term
 stats     n_docs, n_tokens, avgdl     one row
+
+A saved index holds each range's own numbers beside its postings, and in spans, one row a range, what came before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ from corpusmith.functions.shared import new_path
 from corpusmith.functions.ship import map_arrow
 from corpusmith.functions.tokenize import index_terms
 
+from . import ranges
+
 #: Postings in a chunk, the unit of skipping.
 CHUNK = 128
 
@@ -28,6 +36,11 @@ class Index:
     postings: DataFrame
     lexicon: DataFrame
     stats: DataFrame
+    saved_lists: DataFrame | None = None
+
+    @property
+    def lists(self) -> DataFrame:
+        return numbered(self.postings) if self.saved_lists is None else self.saved_lists
 
 
 def tokens(corpus: DataFrame) -> DataFrame:
@@ -35,10 +48,25 @@ def tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.explode(index_terms("content")).alias("term"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their terms: one row a document and distinct term."""
+    for b in batches:
+        lists = b.column("terms")
+        names = lists.flatten().dictionary_encode()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        key, tf = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(names.dictionary)) + names.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(key, max(1, len(names.dictionary)))
+        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(term)), b.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(n[row])], ["term", "doc_id", "tf", "doc_length"])
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """term, doc_id, tf, doc_length. A document's tokens meet in one partition, so what is shuffled is one row a posting."""
-    rows = corpus.select("doc_id", index_terms("content").alias("terms")).select("doc_id", F.size("terms").cast("long").alias("doc_length"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_length").alias("doc_length"))
+    """term, doc_id, tf, doc_length of documents of distinct doc_id. A document is counted in its row, so nothing is shuffled here."""
+    return map_arrow(corpus.select("doc_id", index_terms("content").alias("terms")), _counted, "term string, doc_id long, tf long, doc_length long")
+
+
+def numbered(posts: DataFrame) -> DataFrame:
+    """Postings with k and prev; those that have them are as they are."""
+    return posts if {"k", "prev"} <= {*posts.columns} else ranges.numbered(posts, "doc_id")
 
 
 def doc_table(corpus: DataFrame) -> DataFrame:
@@ -63,16 +91,23 @@ def build(corpus: DataFrame) -> Index:
 
 def save(corpus: DataFrame, path: str) -> Index:
     """Builds and writes the index. Ranges of (term, doc_id) split a frequent term over several files, so no partition holds all of it."""
-    spark = corpus.sparkSession
-    postings(corpus).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    doc_table(corpus).write.parquet(f"{path}/docs")
-    lexicon(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
+    return save_postings(postings(corpus), doc_table(corpus), path)
+
+
+def save_postings(posts: DataFrame, docs: DataFrame, path: str) -> Index:
+    spark = posts.sparkSession
+    ranges.ranged(posts, "doc_id").write.parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
+    ranges.spans(held, "doc_id").coalesce(1).write.parquet(f"{path}/spans")
+    docs.write.parquet(f"{path}/docs")
+    lexicon(held).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
     stats(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/stats")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "lexicon", "stats")))
+    docs, held, words, one, span = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "lexicon", "stats", "spans"))
+    return Index(docs, held.select("term", "doc_id", "tf", "doc_length"), words, one, ranges.placed(held, span))
 
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -88,9 +123,14 @@ def shared(spark: SparkSession, corpus: DataFrame, name: str) -> Index:
     return load(spark, _BUILT[key])
 
 
-def packed(posts: DataFrame) -> DataFrame:
-    """term and its list: ascending (doc_id, tf)."""
-    return posts.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("list"))
+def packed(posts: DataFrame, size: int = CHUNK) -> DataFrame:
+    """term, chunk_no and the chunk's list: ascending (doc_id, tf), size of them at most. A list is as many rows as it has chunks."""
+    return in_chunks(posts, size).groupBy("term", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("list"))
+
+
+def in_chunks(posts: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Postings with k, prev and chunk_no."""
+    return numbered(posts).withColumn("chunk_no", F.floor((F.col("k") - 1) / size).cast("long"))
 
 
 def partial_postings(corpus: DataFrame, run: Column) -> DataFrame:
@@ -138,8 +178,7 @@ def assigned_runs(sizes: DataFrame, budget: int) -> DataFrame:
 
 def chunks(posts: DataFrame, size: int = CHUNK) -> DataFrame:
     """term, chunk_no, first_doc_id, last_doc_id, n of each chunk of a list."""
-    rank = F.expr("row_number() over (partition by term order by doc_id)")
-    return posts.withColumn("chunk_no", F.floor((rank - 1) / size).cast("long")).groupBy("term", "chunk_no").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"))
+    return in_chunks(posts, size).groupBy("term", "chunk_no").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"))
 
 
 def rekeyed(index: Index, order: DataFrame) -> Index:

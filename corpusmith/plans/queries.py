@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.shared import delete, drop_written, new_path, written
 from corpusmith.functions.tokenize import INDEX_REGEX, QUERY_ONE, QUERY_REGEX, index_terms, query_terms, query_words, sql_list
-from corpusmith.operators import codecs, lists, reorder, search, snippets, vectors
+from corpusmith.operators import blocks, codecs, lists, reorder, search, snippets, vectors
 from corpusmith.plans import index as ix
+from corpusmith.plans import ranges
 from corpusmith.sources import corpus as sources
 from corpusmith.sources import dumps
 
@@ -43,6 +44,19 @@ def _index(spark: SparkSession, sf_dir: str) -> ix.Index:
     return ix.shared(spark, _corpus(spark, sf_dir), f"{sf_dir}/documents")
 
 
+_CHUNKS: dict[tuple[str, str], str] = {}
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lists in encoded chunks, made once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CHUNKS:
+        path = new_path(spark, "chunks")
+        blocks.encode(_index(spark, sf_dir).lists).repartitionByRange("term", "chunk_no").sortWithinPartitions("term", "chunk_no").write.parquet(path)
+        _CHUNKS[key] = path
+    return spark.read.parquet(_CHUNKS[key])
+
+
 def _with(body: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """SQL over a corpus's terms (tok), postings (post), lexicon (lex), doc table (dt) and statistics (st)."""
     words = sql_list(f"coalesce({text}, '')", INDEX_REGEX)
@@ -96,7 +110,7 @@ def doc_table(spark, sf_dir):
 @query(_with("x as (select 1) select n_docs, n_tokens, round(avgdl, 6) as avgdl, (select count(*) from lex) as n_terms from st"))
 def corpus_stats(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return i.stats.crossJoin(i.lexicon.agg(F.count("*").alias("n_terms"))).withColumn("avgdl", F.round("avgdl", 6))
+    return i.stats.withColumn("n_terms", F.lit(i.lexicon.count()).cast("long")).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(_with("x as (select 1) select * from post"))
@@ -109,10 +123,13 @@ def lexicon(spark, sf_dir):
     return _index(spark, sf_dir).lexicon
 
 
-@query(_with("x as (select 1) select term, string_agg(doc_id::varchar, ' ' order by doc_id) as ids, string_agg(tf::varchar, ' ' order by doc_id) as tfs from post group by term"))
+_CHUNKED = "ch as (select *, (row_number() over (partition by term order by doc_id) - 1) // 128 as chunk_no from post)"
+
+
+@query(_with(f"{_CHUNKED} select term, chunk_no, string_agg(doc_id::varchar, ' ' order by doc_id) as ids, string_agg(tf::varchar, ' ' order by doc_id) as tfs from ch group by term, chunk_no"))
 def packed_lists(spark, sf_dir):
     text = lambda f: F.array_join(F.transform("list", lambda x: x[f].cast("string")), " ")
-    return ix.packed(_index(spark, sf_dir).postings).select("term", text("doc_id").alias("ids"), text("tf").alias("tfs"))
+    return ix.packed(_index(spark, sf_dir).lists).select("term", "chunk_no", text("doc_id").alias("ids"), text("tf").alias("tfs"))
 
 
 @query(_with("x as (select 1) select term, doc_id, tf from post"))
@@ -120,6 +137,12 @@ def runs_merge(spark, sf_dir):
     return ix.merged(ix.partial_postings(_corpus(spark, sf_dir), F.floor(F.col("doc_id") / RUN_DOCS)))
 
 
+@query(_with(f"x as (select 1) select doc_id // {RUN_DOCS} as run, term, doc_id, tf from post"))
+def run_files(spark, sf_dir):
+    """Runs of documents, each encoded to bytes and read again."""
+    return blocks.read_runs(blocks.encode_runs(ix.partial_postings(_corpus(spark, sf_dir), F.floor(F.col("doc_id") / RUN_DOCS))))
+
+
 @query(
     f"""with recursive s as (select doc_id, coalesce(octet_length(encode(array_to_string(l, ''))), 0)::bigint + 4 * len(l) as bytes, row_number() over (order by doc_id) as k from (select doc_id, {sql_list('text', INDEX_REGEX)} as l from documents)),
 r as (select k, doc_id, bytes, 0::bigint as run, case when bytes >= {RUN_BYTES} then 0 else bytes end as held, bytes >= {RUN_BYTES} as cut from s where k = 1
@@ -132,7 +155,35 @@ def run_assignment(spark, sf_dir):
 
 @query(_with("n as (select *, (row_number() over (partition by term order by doc_id) - 1) // 128 as chunk_no from post) select term, chunk_no, min(doc_id) as first_doc_id, max(doc_id) as last_doc_id, count(*) as n from n group by term, chunk_no"))
 def chunk_table(spark, sf_dir):
-    return ix.chunks(_index(spark, sf_dir).postings)
+    return ix.chunks(_index(spark, sf_dir).lists)
+
+
+@query(_with(f"{_CHUNKED} select term, chunk_no, min(doc_id) as first_doc_id, max(doc_id) as last_doc_id, count(*) as n, md5(string_agg(doc_id || ':' || tf, ' ' order by doc_id)) as digest from ch group by term, chunk_no"))
+def encoded_chunks(spark, sf_dir):
+    """Every chunk's bytes, with a digest of what they decode to."""
+    held = _chunks(spark, sf_dir)
+    back = blocks.decode(held).groupBy("term", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["tf"].cast("string"))), " ")
+    return held.drop("data").join(back.select("term", "chunk_no", F.md5(text.cast("binary")).alias("digest")), ["term", "chunk_no"])
+
+
+@query(_with(f"{_CHUNKED} select term, chunk_no, doc_id, tf from ch where term = 'the' and chunk_no = 1"))
+def load_chunk(spark, sf_dir):
+    return blocks.load_chunk(_chunks(spark, sf_dir), "the", 1)
+
+
+@query(_with("x as (select 1) select term, df, min(doc_id) as first_doc_id, arg_min(tf, doc_id) as first_tf from lex join post using (term) group by term, df"))
+def lexicon_cursors(spark, sf_dir):
+    """Blocks of chunks, and each list's first posting read through the lexicon's cursor to it."""
+    table = blocks.blocks(_chunks(spark, sf_dir))
+    words = blocks.lexicon(table)
+    return blocks.opened(table, words).join(words.select("term", "df"), "term")
+
+
+@query(_with("x as (select 1) select term, doc_id, tf from post"))
+def block_files(spark, sf_dir):
+    """Every posting as read from blocks."""
+    return blocks.read_blocks(blocks.blocks(_chunks(spark, sf_dir))).select("term", "doc_id", "tf")
 
 
 @query(_with(f"a as (select unnest([{_in(TERMS)}]) as term) select term, coalesce(df, 0) as df, df is not null as known from a left join lex using (term)"))
@@ -150,6 +201,11 @@ def next_geq(spark, sf_dir):
     return lists.next_geq(_index(spark, sf_dir), PROBES)
 
 
+@query(SQL["next_geq"])
+def next_geq_by_chunk(spark, sf_dir):
+    return blocks.next_geq(_chunks(spark, sf_dir), PROBES)
+
+
 @query(_with(f"a(term, doc_id) as (values {', '.join(map(str, PAIRS))}) select a.term, a.doc_id::bigint as doc_id, tf from a left join post on a.term = post.term and a.doc_id = post.doc_id"))
 def get_freq(spark, sf_dir):
     return lists.get_freq(_index(spark, sf_dir), PAIRS)
@@ -217,7 +273,8 @@ sn as (select mg.*, substring(content, start_pos + 1, end_pos - start_pos + 1) a
 def _found(spark, sf_dir):
     i = _index(spark, sf_dir)
     best = search.top(search.disjunctive(i, ANY))
-    return snippets.segments(search.explained(i, ANY, best), _corpus(spark, sf_dir).join(F.broadcast(best.select("doc_id")), "doc_id"))
+    rows = best.collect()
+    return snippets.segments(search.explained(i, ANY, spark.createDataFrame(rows, best.schema)), sources.point(_corpus(spark, sf_dir), *(r.doc_id for r in rows)))
 
 
 @query(_with(f"{_SEGMENTS} select * from sn"))
@@ -277,12 +334,12 @@ def trec_parse(spark, sf_dir):
 
 @query(_with("x as (select 1) select term, doc_id, doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id) as gap, row_number() over (partition by term order by doc_id) as k from post"))
 def gap_encode(spark, sf_dir):
-    return codecs.gap_encoded(_index(spark, sf_dir).postings)
+    return codecs.gap_encoded(_index(spark, sf_dir).lists).drop("tf")
 
 
 @query(_with("x as (select 1) select term, doc_id from post"))
 def gap_decode(spark, sf_dir):
-    return codecs.gap_decoded(codecs.gap_encoded(_index(spark, sf_dir).postings))
+    return codecs.gap_decoded(codecs.gap_encoded(_index(spark, sf_dir).lists))
 
 
 _WIDTH = "case when {0} = 0 then 0 else length(bin({0})) end"
@@ -299,7 +356,7 @@ def _vb(x: str) -> str:
 
 @query(_with(f"g as (select term, tf, doc_id, doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id) as gap from post) select term, sum({_vb('gap')})::bigint as bytes from g group by term"))
 def varbyte_size(spark, sf_dir):
-    return codecs.list_sizes(_index(spark, sf_dir).postings).select("term", F.col("varbyte_bytes").alias("bytes"))
+    return codecs.list_sizes(_index(spark, sf_dir).lists).select("term", F.col("varbyte_bytes").alias("bytes"))
 
 
 def _pack(n: str, top: str) -> str:
@@ -314,7 +371,7 @@ select term, n, head + {_pack('m', 'top')} as packed_bytes, {_pack('n', 'tf')} a
     )
 )
 def packed_size(spark, sf_dir):
-    return codecs.list_sizes(_index(spark, sf_dir).postings).select("term", "n", "packed_bytes", "freq_bytes")
+    return codecs.list_sizes(_index(spark, sf_dir).lists).select("term", "n", "packed_bytes", "freq_bytes")
 
 
 @query(
@@ -328,19 +385,30 @@ def varbyte_bytes(spark, sf_dir):
     return n.select("n", codecs.varbyte_hex(F.col("n")).alias("bytes"))
 
 
-@query()
+_ITEMS = "case " + " ".join(f"when list_max(v[p + 1:p + {items}]) < {1 << bits} then {items}" for items, bits in codecs.LAYOUTS[:-1]) + " else 1 end"
+
+
+@query(
+    _with(
+        f"""{_CHUNKED}, cl as (select term, chunk_no, list(doc_id order by doc_id) as ids, max(tf) as top from ch group by term, chunk_no),
+cv as (select term, chunk_no, ids[1] as first, top, len(ids) as n, list_transform(range(1, len(ids)), lambda i: ids[i + 1] - ids[i]) as v from cl),
+cw as (select term, chunk_no, v, 0 as p, 0 as words from cv union all select term, chunk_no, v, p + {_ITEMS}, words + 1 from cw where p < len(v)),
+cs as (select term, chunk_no, max(words) as words from cw group by term, chunk_no)
+select term, chunk_no, n, ({_vb('first')} + {_vb('(n - 1)')} + 4 * words + {_pack('n', 'top')})::bigint as bytes, true as exact from cv join cs using (term, chunk_no)"""
+    )
+)
 def simple9_size(spark, sf_dir):
-    return codecs.chunk_sizes(_index(spark, sf_dir).postings)
+    return blocks.sizes(_index(spark, sf_dir).lists)
 
 
-@query(_with("n as (select *, (row_number() over (partition by term order by doc_id) - 1) // 128 as chunk_no from post) select term, chunk_no, count(*) as n, true as exact from n group by term, chunk_no"))
+@query(_with(f"{_CHUNKED} select term, chunk_no, count(*) as n, true as exact from ch group by term, chunk_no"))
 def simple9_roundtrip(spark, sf_dir):
-    return codecs.chunk_sizes(_index(spark, sf_dir).postings).select("term", "chunk_no", "n", "exact")
+    return blocks.sizes(_index(spark, sf_dir).lists).select("term", "chunk_no", "n", "exact")
 
 
-@query(_with("x as (select 1) select term, term || ' ' || count(*) || chr(10) || string_agg(doc_id::varchar, ' ' order by doc_id) || chr(10) || string_agg(tf::varchar, ' ' order by doc_id) as dump from post group by term"))
+@query(_with(f"{_CHUNKED} select term, chunk_no, term || ' ' || count(*) || chr(10) || string_agg(doc_id::varchar, ' ' order by doc_id) || chr(10) || string_agg(tf::varchar, ' ' order by doc_id) as dump from ch group by term, chunk_no"))
 def plain_dump(spark, sf_dir):
-    return codecs.plain_dump(_index(spark, sf_dir).postings)
+    return blocks.plain_dump(_index(spark, sf_dir).lists)
 
 
 @query(_with("x as (select 1) select doc_id, term, tf::double as weight from post"))
@@ -383,10 +451,10 @@ select p.a, p.b, round(coalesce(dot, 0) / (na.norm * nb.norm), 6) as cosine from
     )
 )
 def cosine_pairs(spark, sf_dir):
-    """Each document with the next one by id: the ids of a dense table join without a global order."""
+    """Each document with the next one by id, which its numbers along the ids tell."""
     i = _index(spark, sf_dir)
-    ids = i.docs.select(F.col("doc_id").alias("a"))
-    pairs = ids.join(i.docs.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b")), "a")
+    ids = ranges.numbered(i.docs.select(F.lit("").alias("term"), "doc_id"), "doc_id")
+    pairs = ids.where("prev is not null").select(F.col("prev").alias("a"), F.col("doc_id").alias("b"))
     return vectors.cosines(pairs, vectors.term_vectors(i.postings)).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -430,8 +498,8 @@ def doc_table_dump(spark, sf_dir):
 @query(_with("x as (select 1) select term || ' ' || df as line from lex"))
 def lexicon_dump(spark, sf_dir):
     path = new_path(spark, "lexicon")
-    dumps.write_lexicon(_index(spark, sf_dir).lexicon, path)
-    return _lines(dumps.read_lexicon(spark, path), "term", "df")
+    dumps.write_lexicon(blocks.lexicon(blocks.blocks(_chunks(spark, sf_dir))), path)
+    return _lines(dumps.read_lexicon(spark, path, cursors=True), "term", "df")
 
 
 def _lines(table, *columns):
@@ -448,16 +516,25 @@ def reorder_bisect(spark, sf_dir):
     return reorder.reorder(_index(spark, sf_dir))
 
 
-@query(_with("x as (select 1) select term, count(*) as df, sum(tf)::bigint as cf from post group by term"))
+@query("select count(*) as n, count(*) as n_old, count(*) as n_new, 0::bigint as least, count(*) - 1 as greatest from documents")
+def reorder_permutation(spark, sf_dir):
+    """The new ids are a permutation of the old ones."""
+    order = reorder.reorder(_index(spark, sf_dir))
+    return order.agg(F.count("*").alias("n"), F.countDistinct("old_id").alias("n_old"), F.countDistinct("new_id").alias("n_new"), F.min("new_id").alias("least"), F.max("new_id").alias("greatest"))
+
+
+@query(_with("x as (select 1) select term, doc_id, tf, doc_length, url from post join dt using (doc_id)"))
 def reordered_index(spark, sf_dir):
-    """The index rebuilt under the new ids: lists keep their lengths and frequencies."""
+    """The index rebuilt under the new ids: each posting, with its document by new id, under the old id again."""
     i = _index(spark, sf_dir)
     order = reorder.reorder(i)
-    posts = written(ix.rekeyed(i, order).postings, "rekeyed")
+    again = ix.rekeyed(i, order)
+    posts = again.postings.join(again.docs.select("doc_id", "url"), "doc_id")
+    out = written(posts.join(order.select(F.col("new_id").alias("doc_id"), "old_id"), "doc_id").select("term", F.col("old_id").alias("doc_id"), "tf", "doc_length", "url"), "rekeyed")
     drop_written(order)
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return out
 
 
 @query(_with("g as (select doc_id - lag(doc_id, 1, 0) over (partition by term order by doc_id) as gap from post) select count(*) as n, round(sum(log2(gap + 1)), 4) as bits from g"))
 def gap_cost(spark, sf_dir):
-    return codecs.gap_cost(_index(spark, sf_dir).postings)
+    return codecs.gap_cost(_index(spark, sf_dir).lists)

@@ -152,6 +152,67 @@ def test_trec(spark, tmp_path):
     assert sorted(r.doc_id for r in sources.trec(spark, str(bad), strict=False).collect()) == [1, 2]
 
 
+TREC_CASES = {
+    # Carriage returns are kept, empty lines skipped, a tag within the text is content, what follows a tag on its line is ignored.
+    "odd": ("<DOC> x\n\n<DOCNO>1</DOCNO>\n<TEXT>\nu\na\rb\r\n\n</DOC>\n <TEXT>\n</TEXT> rest\n\n</DOC> tail\n", [(0, "u", "a\rb\r\n</DOC>\n <TEXT>\n")]),
+    "ends within a text": ("<DOC>\n<DOCNO>1\n<TEXT>\nu\nx\n</TEXT>\n</DOC>\n<DOC>\n<DOCNO>2\n<TEXT>\nv\nrest", [(0, "u", "x\n"), (1, "v", "rest\n")]),
+    "ends within a head": ("<DOC>\n<DOCNO>1\n<TEXT>\nu\n</TEXT>\n</DOC>\n<DOC>\n<DOCNO>2\n", [(0, "u", "")]),
+    "ends before a close": ("<DOC>\n<DOCNO>1\n<TEXT>\nu\n</TEXT>", [(0, "u", "")]),
+    "no url ends all": ("<DOC>\n<DOCNO>1\n<TEXT>\nu\n</TEXT>\n</DOC>\n<DOC>\n<DOCNO>2\n<TEXT>\n</TEXT>\n</DOC>\n<DOC>\n<DOCNO>3\n<TEXT>\nw\n</TEXT>\n</DOC>\nbad\n", [(0, "u", "")]),
+    "empty": ("", []),
+    "blank": ("\n\n", []),
+}
+
+
+@pytest.mark.parametrize("case", TREC_CASES)
+def test_trec_lines(spark, tmp_path, case):
+    text, want = TREC_CASES[case]
+    (tmp_path / "f").write_bytes(text.encode())
+    assert sorted(map(tuple, sources.trec(spark, str(tmp_path / "f")).collect())) == want
+
+
+ONE = "<DOC>\n<DOCNO>1\n<TEXT>\nu\nx\n</TEXT>\n</DOC>\n"
+
+
+@pytest.mark.parametrize("text,left", [
+    (ONE + ONE.replace("<DOCNO>", "<NO>") + ONE, [0, 2]),
+    (ONE.replace("</DOC>", "more") + ONE, [0]),
+    (ONE + "stray\n" + ONE, [0]),
+    ("<DOC>\n</TEXT>\n</DOC>\n" + ONE, [1]),
+    (ONE + "stray\n", [0]),
+    (ONE.replace("</DOC>\n", "stray\n"), [0]),
+])
+def test_malformed_trec(spark, tmp_path, text, left):
+    (tmp_path / "f").write_text(text)
+    with pytest.raises(Exception, match="malformed"):
+        sources.trec(spark, str(tmp_path / "f")).collect()
+    assert sorted(r.doc_id for r in sources.trec(spark, str(tmp_path / "f"), strict=False).collect()) == left
+
+
+def test_trec_files_one_after_the_other(spark, tmp_path):
+    for k, text in enumerate((ONE * 3, "", ONE * 2 + "<DOC>\n<DOCNO>9\n<TEXT>\nv\nopen", ONE)):
+        (tmp_path / f"f{k}").write_text(text)
+    assert sorted((r.doc_id, r.url) for r in sources.trec(spark, str(tmp_path)).collect()) == [(0, "u"), (1, "u"), (2, "u"), (3, "u"), (4, "u"), (5, "v"), (6, "u")]
+
+
+def test_held_list(mini):
+    _, index = mini
+    held = lists.Held(index, "all")
+    assert held.rows.count() == 5
+    held.clear()
+    assert held.rows.count() == 5
+    held.close()
+    with pytest.raises(ValueError):
+        held.rows
+
+
+def test_first_part(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"))
+    assert sources.first_part(docs, 0.01).count() == 2 and sources.first_part(docs) is docs and sources.first_part(docs, 0).count() == 0
+    with pytest.raises(ValueError):
+        sources.first_part(docs, 2)
+
+
 def test_store(spark, tmp_path):
     store = sources.Store(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([(i, f"u{i}", 1, "x") for i in range(10)], "doc_id long, url string, doc_length long, content string")
