@@ -44,8 +44,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def drop_written(*tables: DataFrame) -> None:
+    """Deletes what the tables lie in: shared_path, one path or several."""
     for df in tables:
-        if path := getattr(df, "shared_path", None):
+        paths = getattr(df, "shared_path", ())
+        for path in (paths,) if isinstance(paths, str) else paths:
             delete(df.sparkSession, path)
 
 

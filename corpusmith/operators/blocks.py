@@ -164,10 +164,10 @@ def lexicon(table: DataFrame) -> DataFrame:
     return rows.groupBy("e.term").agg(F.min(F.struct("cursor", "e.chunk_offset")).alias("at"), F.sum("e.n").alias("df")).select("term", F.col("at.cursor").alias("block_cursor"), F.col("at.chunk_offset").alias("chunk_offset"), "df")
 
 
-def chunk_bytes(header: bytes, body: bytes, chunk: int) -> bytes:
-    """One chunk of a block, found by its header."""
+def chunk_data(header: bytes, body: bytes) -> list[bytes]:
+    """A block's chunks, found by its header."""
     ends = C.decode_header(header)[0]
-    return body[ends[chunk - 1] if chunk else 0 : ends[chunk]]
+    return [body[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
 
 class _Open:
@@ -177,14 +177,17 @@ class _Open:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = CHUNK_CODECS[self.codec][1]
         for b in batches:
-            found = [read(chunk_bytes(h, d, k)) for h, d, k in zip(*(b.column(c).to_pylist() for c in ("header", "body", "chunk_offset")))]
-            yield pa.RecordBatch.from_arrays([b.column("term"), pa.array([ids[0] for ids, _ in found], pa.int64()), pa.array([freqs[0] for _, freqs in found], pa.int64())], ["term", "first_doc_id", "first_tf"])
+            for header, body, asked in zip(*(b.column(c).to_pylist() for c in ("header", "body", "asked"))):
+                chunks = chunk_data(header, body)
+                found = [read(chunks[x["chunk_offset"]]) for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([x["term"] for x in asked]), pa.array([ids[0] for ids, _ in found], pa.int64()), pa.array([freqs[0] for _, freqs in found], pa.int64())], ["term", "first_doc_id", "first_tf"])
 
 
 def opened(table: DataFrame, words: DataFrame, codec: str = "binary") -> DataFrame:
-    """term, first_doc_id and first_tf of the lexicon's lists, read through their cursors."""
-    rows = words.select("term", F.col("block_cursor").alias("cursor"), "chunk_offset").join(table.select("cursor", "header", "body"), "cursor")
-    return map_arrow(rows.select("term", "chunk_offset", "header", "body"), _Open(codec), "term string, first_doc_id long, first_tf long")
+    """term, first_doc_id and first_tf of the lexicon's lists, read through their cursors. A block comes once for all lists that begin in it."""
+    asked = words.groupBy(F.col("block_cursor").alias("cursor")).agg(F.collect_list(F.struct("term", "chunk_offset")).alias("asked"))
+    rows = asked.join(table.select("cursor", "header", "body"), "cursor")
+    return map_arrow(rows.select("header", "body", "asked"), _Open(codec), "term string, first_doc_id long, first_tf long")
 
 
 def read_blocks(table: DataFrame, codec: str = "binary") -> DataFrame:
@@ -199,8 +202,7 @@ class _Chunks:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for header, body, entries in zip(*(b.column(c).to_pylist() for c in ("header", "body", "entries"))):
-                ends = C.decode_header(header)[0]
-                data = [body[lo:hi] for lo, hi in zip([0, *ends], ends)]
+                data = chunk_data(header, body)
                 rows = pa.RecordBatch.from_arrays([pa.array([e["term"] for e in entries]), pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], ["term", "chunk_no", "data"])
                 yield from _Decode(self.codec)([rows])
 
