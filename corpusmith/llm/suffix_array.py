@@ -18,8 +18,8 @@ again.
 Pairs are sorted over ranges of (pair, document, place), which Spark samples, so
 the places of one common passage spread over as many tasks as they need. A rank is
 the number of the range and the row in it where its group begins. A group may go
-on over ranges: each tells its first and last group, and the driver, with two rows
-a range, joins those that are one.
+on over ranges: each tells its first and last group, two rows a range, and those of
+one pair are joined.
 
 Texts are written once, in blocks (see blocks): which documents are identical (they
 enter once), which places are seeds, and which words go, comes back to them by
@@ -214,17 +214,13 @@ def _reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield edge(int(carry[0][0]), int(carry[1][0]), carry_start, seen - carry_start)
 
 
-def joined_edges(edges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of (rank, a, b, n) of the ranges' first and last groups, in the order of ranks: (rank, rank of the whole group, its places)."""
-    out, lo = [], 0
-    while lo < len(edges):
-        hi = lo + 1
-        while hi < len(edges) and edges[hi][1:3] == edges[lo][1:3]:
-            hi += 1
-        n = sum(e[3] for e in edges[lo:hi])
-        out += [(e[0], edges[lo][0], n) for e in edges[lo:hi]]
-        lo = hi
-    return out
+def whole_groups(edges: DataFrame) -> DataFrame:
+    """Of (rank, a, b, n), the ranges' first and last groups: rank, the rank of the whole group, and its places.
+
+    A pair lies in ranges that follow each other, so its edges are all of its group. Two rows a range at most.
+    """
+    groups = edges.groupBy("a", "b").agg(F.min("rank").alias("whole"), F.sum("n").alias("n"))
+    return edges.select("rank", "a", "b").join(groups, ["a", "b"]).select("rank", "whole", "n")
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -235,12 +231,10 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     ranges = written(map_arrow(pairs.repartitionByRange(parts, *order).sortWithinPartitions(*order), _reranked, _RANKED), "ranges")
     drop_written(pairs)
     release(spark)
-    # Two rows a range at most.
-    edges = sorted((r["rank"], r["a"], r["b"], r["did"]) for r in ranges.where(f"pos = {_EDGE}").select("rank", "a", "b", "did").collect())
-    whole = spark.createDataFrame(joined_edges(edges), "rank long, whole long, n long")
-    places = ranges.where("pos >= 0").join(F.broadcast(whole), "rank", "left").where("n is null or n > 1")
+    whole = written(whole_groups(ranges.where(f"pos = {_EDGE}").select("rank", "a", "b", F.col("did").alias("n"))), "edges")
+    places = ranges.where("pos >= 0").join(checked_broadcast(whole, 24), "rank", "left").where("n is null or n > 1")
     out = places.select(*_PLACE, F.coalesce("whole", "rank").alias("rank"), (F.col("first") & F.expr("whole is null or whole = rank")).alias("first"))
-    out.shared_path = ranges.shared_path
+    out.shared_path = (ranges.shared_path, whole.shared_path)
     return out
 
 

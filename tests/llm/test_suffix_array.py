@@ -87,9 +87,12 @@ def test_rounds():
         S.rounds(1)
 
 
-def test_edges_of_ranges():
+def test_edges_of_ranges(spark):
     edges = [(0, 1, 1, 2), (5, 2, 2, 1), (100, 2, 2, 9), (200, 2, 2, 3), (207, 3, 3, 1), (300, 4, 4, 1)]
-    assert S.joined_edges(edges) == [(0, 0, 2), (5, 5, 13), (100, 5, 13), (200, 5, 13), (207, 207, 1), (300, 300, 1)] and S.joined_edges([]) == []
+    schema = "rank long, a long, b long, n long"
+    found = {tuple(r) for r in S.whole_groups(spark.createDataFrame(edges, schema)).collect()}
+    assert found == {(0, 0, 2), (5, 5, 13), (100, 5, 13), (200, 5, 13), (207, 207, 1), (300, 300, 1)}
+    assert S.whole_groups(spark.createDataFrame([], schema)).isEmpty()
 
 
 def test_a_passage_in_a_tenth_of_all_documents_spreads(spark, monkeypatch):
