@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmith.functions.shared import checked_broadcast, drop_written, written
 from corpusmith.functions.ship import map_arrow, ship
 
 from . import textops as T
@@ -258,10 +259,12 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, docs_each: int = TRAIN_
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")).where("lang is not null and text is not null and doc_id is not null")
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    # The ids are ranked first, without the texts.
+    # The ids are ranked first, without the texts. They are docs_each a label at most, but labels may be many.
     ids = rows.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(_by("lang", order))).where(F.col("k") <= docs_each).select("doc_id", "lang")
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    ids = written(ids, "training_ids")
+    sample = rows.join(checked_broadcast(ids, 48), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     fitted = sample.groupBy("lang").applyInPandas(_fit(vocabulary, rounds, smoothing), "lang string, prob array<double>").orderBy("lang").collect()
+    drop_written(ids)
     return Model([r.lang for r in fitted], np.array([r.prob for r in fitted]).T if fitted else np.zeros((0, 0)))
 
 
