@@ -168,10 +168,21 @@ def reorder(index: Index, leaf: int = LEAF, split_above: int = SPLIT_ABOVE, rati
 STRATEGIES = {"identity": lambda index: identity(index.docs), "bisect": reorder}
 
 
-def _split(clusters: DataFrame, vectors: DataFrame, ratio: float, grow: str, limit: int, pick) -> DataFrame:
-    """doc_id, cluster and side of every document of the large clusters."""
+def sampled(clusters: DataFrame, ratio: float, pick: Column) -> DataFrame:
+    """doc_id and cluster of the documents by which clusters (doc_id, cluster, n documents in all) are split. Each task keeps SAMPLE_LIMIT rows a cluster before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(pick, "doc_id"))
-    sample = clusters.withColumn("k", rank).where((F.col("k") <= SAMPLE_LIMIT) & (F.col("k") <= F.ceil(F.col("n") * ratio))).select("doc_id", "cluster")
+    return clusters.withColumn("k", rank).where((F.col("k") <= SAMPLE_LIMIT) & (F.col("k") <= F.ceil(F.col("n") * ratio))).select("doc_id", "cluster")
+
+
+def split_sample(docs: DataFrame, ratio: float = RATIO, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """doc_id of the documents whose graph the first split cuts: all of a collection that is taken whole, else the sample, SAMPLE_LIMIT at most."""
+    ids, n = docs.select("doc_id"), docs.count()
+    return ids if n <= split_above else sampled(ids.select("doc_id", F.lit(ROOT).alias("cluster"), F.lit(n).alias("n")), ratio, F.col("doc_id")).select("doc_id")
+
+
+def _split(clusters: DataFrame, vectors: DataFrame, ratio: float, grow: str, limit: int, pick: Column) -> DataFrame:
+    """doc_id, cluster and side of every document of the large clusters."""
+    sample = sampled(clusters, ratio, pick)
 
     def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own, x, _, _ = _wide(rows, None)

@@ -458,15 +458,26 @@ def cosine_pairs(spark, sf_dir):
     return vectors.cosines(pairs, vectors.term_vectors(i.postings)).withColumn("cosine", F.round("cosine", 6))
 
 
+_SAMPLE = "select doc_id from (select doc_id, row_number() over (order by doc_id) as k, count(*) over () as n from documents) where n <= 500 or k <= least(1000, ceil(n * 0.05::double))"
+
+
+@query(_SAMPLE)
+def sample_docs(spark, sf_dir):
+    """The documents whose graph the first split of a reordering cuts."""
+    return reorder.split_sample(_index(spark, sf_dir).docs)
+
+
 @query(
     _with(
-        """n as (select doc_id, sqrt(sum(tf * tf)) as norm from post group by doc_id),
-e as (select x.doc_id as a, y.doc_id as b, sum(x.tf * y.tf)::double as dot, max((x.tf <= 10 and y.tf <= 10)::int) as edge from post x join post y on x.term = y.term and x.doc_id < y.doc_id group by all)
+        f"""sd as ({_SAMPLE}), ps as (select post.* from post join sd using (doc_id)), n as (select doc_id, sqrt(sum(tf * tf)) as norm from ps group by doc_id),
+e as (select x.doc_id as a, y.doc_id as b, sum(x.tf * y.tf)::double as dot, max((x.tf <= 10 and y.tf <= 10)::int) as edge from ps x join ps y on x.term = y.term and x.doc_id < y.doc_id group by all)
 select a, b, round(dot / (na.norm * nb.norm), 6) as weight from e join n na on na.doc_id = a join n nb on nb.doc_id = b where edge = 1"""
     )
 )
 def doc_graph(spark, sf_dir):
-    return vectors.graph(_index(spark, sf_dir).postings)
+    """The graph that the first split cuts: what a graph is made of has a bound, as its edges grow with the square."""
+    i = _index(spark, sf_dir)
+    return vectors.graph(i.postings.join(F.broadcast(reorder.split_sample(i.docs)), "doc_id", "left_semi"))
 
 
 _LANGS = ("en", "de", "fr", "es")
