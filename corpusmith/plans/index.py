@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.functions.shared import new_path
+from corpusmith.functions.shared import drop_written, new_path, written
 from corpusmith.functions.ship import map_arrow
 from corpusmith.functions.tokenize import index_terms
 
@@ -28,6 +29,13 @@ from . import ranges
 
 #: Postings in a chunk, the unit of skipping.
 CHUNK = 128
+#: Tokens that are counted side by side, postings of a piece of a list, and postings that leave Python together.
+SLICE, PIECE, FLAT = 1 << 20, 64, 1 << 17
+#: Low bits of a doc_id that a piece holds for each posting; the rest is its bucket.
+BUCKET = 16
+LOW = (1 << BUCKET) - 1
+POSTING = np.dtype([("low", "<u2"), ("tf", "<u4"), ("length", "<u4")])
+_POSTINGS = "term string, doc_id long, tf long, doc_length long"
 
 
 @dataclass(frozen=True)
@@ -48,20 +56,116 @@ def tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.explode(index_terms("content")).alias("term"))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Documents of some SLICE tokens together, so that what is counted side by side has a bound."""
+    ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _distinct(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents with their terms: the terms, and of each document's distinct ones, by term and row, number of the term, row, tf and length."""
+    lists = part.column("terms")
+    names = lists.flatten().dictionary_encode()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = max(1, len(n))
+    key, tf = np.unique(names.indices.to_numpy().astype(np.int64) * rows + np.repeat(np.arange(len(n)), n), return_counts=True)
+    term, row = np.divmod(key, rows)
+    return names.dictionary, term, row, tf, n[row]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents with their terms: one row a document and distinct term."""
     for b in batches:
-        lists = b.column("terms")
-        names = lists.flatten().dictionary_encode()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        key, tf = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(names.dictionary)) + names.indices.to_numpy(), return_counts=True)
-        row, term = np.divmod(key, max(1, len(names.dictionary)))
-        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(term)), b.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(n[row])], ["term", "doc_id", "tf", "doc_length"])
+        for part in _slices(b):
+            names, term, row, tf, length = _distinct(part)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(term)), part.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(length)], ["term", "doc_id", "tf", "doc_length"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their terms: pieces of lists, PIECE postings of a term and bucket of ids at most, and a row of documents a slice."""
+    schema = pa.schema([("term", pa.string()), ("bucket", pa.int64()), ("df", pa.int64()), ("cf", pa.int64()), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("url", pa.string()), ("doc_length", pa.int64())])))])
+    for b in batches:
+        ids = b.column("doc_id").to_numpy()
+        for part in _slices(b if (ids[1:] >= ids[:-1]).all() else b.sort_by("doc_id")):
+            names, term, row, tf, length = _distinct(part)
+            ids = part.column("doc_id").to_numpy()
+            if len(term):
+                doc = ids[row]
+                new = np.r_[True, (term[1:] != term[:-1]) | (doc[1:] >> BUCKET != doc[:-1] >> BUCKET)]
+                at = np.arange(len(term))
+                new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % PIECE == 0
+                start = np.flatnonzero(new)
+                held = np.empty(len(term), POSTING)
+                held["low"], held["tf"], held["length"] = doc & LOW, tf, length
+                df = np.diff(np.r_[start, len(term)])
+                data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((np.r_[0, np.cumsum(df)] * POSTING.itemsize).astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
+                none = pa.nulls(len(start), schema.field("docs").type)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(term[start])), pa.array(doc[start] >> BUCKET), pa.array(df), pa.array(np.add.reduceat(tf, start).astype(np.int64)), data, none], schema=schema)
+            lengths = part.column("terms").value_lengths().cast(pa.int64())
+            docs = pa.StructArray.from_arrays([part.column("doc_id"), part.column("url"), lengths], fields=list(schema.field("docs").type.value_type))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:-1] + [pa.ListArray.from_arrays([0, len(docs)], docs, type=schema.field("docs").type)], schema=schema)
+
+
+class _Flat:
+    """Pieces sorted by term and bucket as postings in order. No more is held than a batch and the pieces of one term and bucket."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ranges.Number("doc_id")(self.flat(batches))
+
+    def flat(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            new = self.begins(b)
+            # The last term and bucket of a batch may go on in the next one.
+            last = int(new[-1]) if len(new) else 0
+            if held and b.num_rows and not last and self.same(held[-1], b):
+                held.append(b)
+                continue
+            if not b.num_rows:
+                continue
+            yield from self.postings([*held, b.slice(0, last)])
+            held = [b.slice(last)]
+        yield from self.postings(held)
+
+    @staticmethod
+    def begins(b: pa.RecordBatch) -> np.ndarray:
+        """Where a term and bucket begins that isn't that of the row before."""
+        n = b.num_rows
+        if n < 2:
+            return np.zeros(0, np.int64)
+        term, bucket = b.column("term"), b.column("bucket").to_numpy()
+        return 1 + np.flatnonzero(pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1]))
+
+    @staticmethod
+    def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+        return all(a.column(c)[a.num_rows - 1] == b.column(c)[0] for c in ("term", "bucket"))
+
+    def postings(self, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks() if held else None
+        if rows is None or not rows.num_rows:
+            return
+        b = rows.to_batches()[0]
+        n, of = b.column("df").to_numpy(), np.zeros(b.num_rows, np.int64)
+        of[self.begins(b)] = 1
+        flat = np.frombuffer(b"".join(b.column("data").to_pylist()), POSTING)
+        row = np.repeat(np.arange(b.num_rows), n)
+        key = np.cumsum(of)[row] << BUCKET | flat["low"]
+        if len(key) > 1 and (key[1:] < key[:-1]).any():
+            order = np.argsort(key, kind="stable")
+            flat, row = flat[order], row[order]
+        ids = b.column("bucket").to_numpy()[row] << BUCKET | flat["low"]
+        for lo in range(0, len(row), FLAT):
+            cut = slice(lo, lo + FLAT)
+            yield pa.RecordBatch.from_arrays([b.column("term").take(pa.array(row[cut])), pa.array(ids[cut]), pa.array(flat["tf"][cut].astype(np.int64)), pa.array(flat["length"][cut].astype(np.int64))], ["term", "doc_id", "tf", "doc_length"])
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """term, doc_id, tf, doc_length of documents of distinct doc_id. A document is counted in its row, so nothing is shuffled here."""
-    return map_arrow(corpus.select("doc_id", index_terms("content").alias("terms")), _counted, "term string, doc_id long, tf long, doc_length long")
+    return map_arrow(corpus.select("doc_id", index_terms("content").alias("terms")), _counted, _POSTINGS)
 
 
 def numbered(posts: DataFrame) -> DataFrame:
@@ -90,18 +194,33 @@ def build(corpus: DataFrame) -> Index:
 
 
 def save(corpus: DataFrame, path: str) -> Index:
-    """Builds and writes the index. Ranges of (term, doc_id) split a frequent term over several files, so no partition holds all of it."""
-    return save_postings(postings(corpus), doc_table(corpus), path)
+    """Builds and writes the index: one pass over the texts writes pieces of lists, and what is sorted is these.
+
+    Ranges of (term, bucket of ids) split a frequent term over several files, so no partition holds all of it.
+    """
+    spark, kind = corpus.sparkSession, "term string, bucket long, df long, cf long, data binary, docs array<struct<doc_id: long, url: string, doc_length: long>>"
+    pieces = written(map_arrow(corpus.select("doc_id", "url", index_terms("content").alias("terms")), _pieces, kind), "pieces")
+    lists, by = pieces.where("term is not null"), ["term", "bucket"]
+    rows = lists.select(*by, "df", "data").repartitionByRange(*by).sortWithinPartitions(*by)
+    map_arrow(rows, _Flat(), ranges.schema_of(spark.createDataFrame([], _POSTINGS))).write.parquet(f"{path}/postings")
+    pieces.where("docs is not null").select(F.inline("docs")).write.parquet(f"{path}/docs")
+    words = lists.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return _saved(spark, words, path, pieces)
 
 
 def save_postings(posts: DataFrame, docs: DataFrame, path: str) -> Index:
     spark = posts.sparkSession
     ranges.ranged(posts, "doc_id").write.parquet(f"{path}/postings")
-    held = spark.read.parquet(f"{path}/postings")
-    ranges.spans(held, "doc_id").coalesce(1).write.parquet(f"{path}/spans")
     docs.write.parquet(f"{path}/docs")
-    lexicon(held).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
+    return _saved(spark, lexicon(spark.read.parquet(f"{path}/postings")), path)
+
+
+def _saved(spark: SparkSession, words: DataFrame, path: str, *made: DataFrame) -> Index:
+    """The rest of an index whose postings and docs are written; then drops what it was made of."""
+    ranges.spans(spark.read.parquet(f"{path}/postings"), "doc_id").coalesce(1).write.parquet(f"{path}/spans")
+    words.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
     stats(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/stats")
+    drop_written(*made)
     return load(spark, path)
 
 

@@ -15,20 +15,37 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from corpusmith.functions.shared import written
 from corpusmith.functions.ship import map_arrow
 
 
 class Number:
-    """Of rows sorted by (term, order): part, k (from 1 in the part's rows of the term), prev (the order before, null at first) and, with
-    value, total (the sum of it so far)."""
+    """Of rows sorted by (term, order): part, k (from 1 in the part's rows of the term), prev (the order before, null at first), edge (whether
+    the row is the part's first or last) and, with value, total (the sum of it so far)."""
 
     def __init__(self, order: str, value: str | None = None):
         self.order, self.value = order, value
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = True, None
+        for b in self.numbered(batches):
+            if held is not None:
+                yield self.edged(held, first, False)
+                first = False
+            held = b
+        if held is not None:
+            yield self.edged(held, first, True)
+
+    @staticmethod
+    def edged(b: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
+        edge = np.zeros(b.num_rows, bool)
+        edge[0] |= first
+        edge[-1] |= last
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(edge)], [*b.schema.names, "edge"])
+
+    def numbered(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         last, k0, prev0, sum0 = None, 0, 0, 0
         for b in batches:
@@ -60,7 +77,7 @@ class Number:
 
 def schema_of(rows: DataFrame, value: str | None = None) -> StructType:
     out = StructType([*rows.schema.fields]).add("part", IntegerType()).add("k", LongType()).add("prev", LongType())
-    return out if value is None else out.add("total", LongType())
+    return (out if value is None else out.add("total", LongType())).add("edge", BooleanType())
 
 
 def ranged(rows: DataFrame, order: str, value: str | None = None) -> DataFrame:
@@ -72,15 +89,24 @@ def ranged(rows: DataFrame, order: str, value: str | None = None) -> DataFrame:
 def spans(numbered: DataFrame, order: str, value: str | None = None) -> DataFrame:
     """part, term, before, last and sum_before of each range that begins with a term that ranges before it hold: as many rows as ranges at most."""
     total = F.lit(0).cast("long") if value is None else F.col("total")
-    ends = numbered.groupBy("part").agg(F.min("term").alias("first"), F.max(F.struct("term", "k", F.col(order).alias("at"), total.alias("total"))).alias("end"))
+    ends: dict[int, list] = {}
+    for r in numbered.where("edge").select("part", "term", "k", F.col(order).alias("at"), total.alias("total")).collect():
+        ends.setdefault(r["part"], []).append(r)
     out, term, n, at, sum_ = [], None, 0, 0, 0
-    for r in ends.orderBy("part").collect():
-        goes_on = term is not None and r["first"] == term
+    for part in sorted(ends):
+        # A part of one row has one edge; of two edges of a term the later has the greater k.
+        rows = ends[part]
+        if len(rows) == 2 and rows[0]["term"] == rows[1]["term"]:
+            rows.sort(key=lambda r: r["k"])
+        elif len(rows) == 2 and rows[0]["term"].encode() > rows[1]["term"].encode():
+            rows.reverse()
+        begin, end = rows[0], rows[-1]
+        goes_on = term is not None and begin["term"] == term
         if goes_on:
-            out.append((r["part"], term, n, at, sum_))
-        whole = goes_on and r["end"]["term"] == term
-        n, sum_ = r["end"]["k"] + (n if whole else 0), r["end"]["total"] + (sum_ if whole else 0)
-        term, at = r["end"]["term"], r["end"]["at"]
+            out.append((part, term, n, at, sum_))
+        whole = goes_on and end["term"] == term
+        n, sum_ = end["k"] + (n if whole else 0), end["total"] + (sum_ if whole else 0)
+        term, at = end["term"], end["at"]
     return numbered.sparkSession.createDataFrame(out, "part int, term string, before long, last long, sum_before long")
 
 
@@ -89,7 +115,7 @@ def placed(numbered: DataFrame, span: DataFrame) -> DataFrame:
     out = numbered.join(F.broadcast(span), ["part", "term"], "left").withColumns({"k": F.col("k") + F.coalesce("before", F.lit(0)), "prev": F.coalesce("prev", "last")})
     if "total" in numbered.columns:
         out = out.withColumn("total", F.col("total") + F.coalesce("sum_before", F.lit(0)))
-    return out.drop("part", "before", "last", "sum_before")
+    return out.drop("part", "edge", "before", "last", "sum_before")
 
 
 def numbered(rows: DataFrame, order: str, value: str | None = None) -> DataFrame:
