@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.shared import checked_broadcast, drop_written, written
 from corpusmith.functions.ship import map_arrow, ship
-from corpusmith.plans.index import CHUNK, packed
+from corpusmith.plans.index import CHUNK, FLAT, packed
 
 from . import codecs as C
 
@@ -52,6 +52,17 @@ def _plain(ids: np.ndarray, freqs: np.ndarray, at: np.ndarray) -> list[bytes]:
 ChunkCodec = tuple[Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]], Callable[[bytes], tuple[list[int], list[int]]]]
 #: name: (encode many chunks, decode one).
 CHUNK_CODECS: dict[str, ChunkCodec] = {"binary": (_binary, C.decode_chunk), "plain": (_plain, C.read_plain_chunk)}
+#: Where a codec can decode many chunks side by side.
+DECODE_MANY = {"binary": C.decode_chunks}
+
+
+def _decoded(codec: str, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and frequencies of chunks, and where each chunk's begin, and the end."""
+    if codec in DECODE_MANY:
+        return DECODE_MANY[codec](b"".join(data), np.cumsum([len(x) for x in data], dtype=np.int64))
+    read = [CHUNK_CODECS[codec][1](x) for x in data]
+    ids, freqs = (np.array([x for r in read for x in r[k]], np.int64) for k in (0, 1))
+    return ids, freqs, np.r_[0, np.cumsum([len(i) for i, _ in read], dtype=np.int64)]
 
 
 class _Encode:
@@ -83,12 +94,32 @@ class _Decode:
         self.codec = codec
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = CHUNK_CODECS[self.codec][1]
         for b in batches:
-            read = [decode(x) for x in b.column("data").to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(read)), [len(ids) for ids, _ in read]))
-            ids, freqs = (pa.array([x for r in read for x in r[k]], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("term").take(owner), b.column("chunk_no").take(owner), ids, freqs], ["term", "chunk_no", "doc_id", "tf"])
+            ids, freqs, at = _decoded(self.codec, b.column("data").to_pylist())
+            owner = np.repeat(np.arange(b.num_rows), np.diff(at))
+            for lo in range(0, len(owner), FLAT):
+                few = slice(lo, lo + FLAT)
+                own = pa.array(owner[few])
+                yield pa.RecordBatch.from_arrays([b.column("term").take(own), b.column("chunk_no").take(own), pa.array(ids[few]), pa.array(freqs[few])], ["term", "chunk_no", "doc_id", "tf"])
+
+
+class _DecodeLists:
+    """Chunks' other columns with their postings as a list."""
+
+    def __init__(self, codec: str):
+        self.codec = codec
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, freqs, at = _decoded(self.codec, b.column("data").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(freqs)], ["doc_id", "tf"]))
+            yield pa.RecordBatch.from_arrays([lists if c == "data" else b.column(c) for c in b.schema.names], ["list" if c == "data" else c for c in b.schema.names])
+
+
+def decode_lists(chunks: DataFrame, codec: str = "binary") -> DataFrame:
+    """The table of encoded chunks with list, ascending (doc_id, tf), in place of data. A chunk is decoded in its row."""
+    kind = ", ".join("list array<struct<doc_id: long, tf: long>>" if c == "data" else f"`{c}` {t}" for c, t in chunks.dtypes)
+    return map_arrow(chunks, _DecodeLists(codec), kind)
 
 
 def decode(chunks: DataFrame, codec: str = "binary") -> DataFrame:
@@ -175,12 +206,11 @@ class _Open:
         self.codec = codec
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = CHUNK_CODECS[self.codec][1]
         for b in batches:
             for header, body, asked in zip(*(b.column(c).to_pylist() for c in ("header", "body", "asked"))):
                 chunks = chunk_data(header, body)
-                found = [read(chunks[x["chunk_offset"]]) for x in asked]
-                yield pa.RecordBatch.from_arrays([pa.array([x["term"] for x in asked]), pa.array([ids[0] for ids, _ in found], pa.int64()), pa.array([freqs[0] for _, freqs in found], pa.int64())], ["term", "first_doc_id", "first_tf"])
+                ids, freqs, at = _decoded(self.codec, [chunks[x["chunk_offset"]] for x in asked])
+                yield pa.RecordBatch.from_arrays([pa.array([x["term"] for x in asked]), pa.array(ids[at[:-1]]), pa.array(freqs[at[:-1]])], ["term", "first_doc_id", "first_tf"])
 
 
 def opened(table: DataFrame, words: DataFrame, codec: str = "binary") -> DataFrame:
@@ -242,8 +272,13 @@ def sizes(posts: DataFrame, size: int = CHUNK) -> DataFrame:
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for made in _Encode("binary")([b]):
-            lists, data = b.column("list").to_pylist(), made.column("data").to_pylist()
-            exact = [C.decode_chunk(d) == ([x["doc_id"] for x in chunk], [x["tf"] for x in chunk]) for d, chunk in zip(data, lists)]
+            data, want = made.column("data").to_pylist(), b.column("list").flatten()
+            n, start = made.column("n").to_numpy(), np.r_[0, np.cumsum(b.column("list").value_lengths().to_numpy(zero_copy_only=False))][:-1]
+            ids, freqs, at = _decoded("binary", data)
+            if (np.diff(at) == n).all():
+                exact = np.logical_and.reduceat((ids == want.field("doc_id").to_numpy()) & (freqs == want.field("tf").to_numpy()), start)
+            else:
+                exact = np.array([C.decode_chunk(d) == ([x["doc_id"] for x in chunk], [x["tf"] for x in chunk]) for d, chunk in zip(data, b.column("list").to_pylist())])
             yield pa.RecordBatch.from_arrays([made.column("term"), made.column("chunk_no"), made.column("n"), pa.array([len(d) for d in data], pa.int64()), pa.array(exact)], ["term", "chunk_no", "n", "bytes", "exact"])
 
 

@@ -12,11 +12,14 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmith.functions.shared import written
+from corpusmith.functions.ship import map_arrow
 from corpusmith.plans import ranges
-from corpusmith.plans.index import numbered
+from corpusmith.plans.index import CHUNK, FLAT, gathered, numbered
 
 #: Selectors of simple9: items in a word and bits of each.
 LAYOUTS = ((28, 1), (14, 2), (9, 3), (7, 4), (5, 5), (4, 7), (3, 9), (2, 14), (1, 28))
@@ -166,6 +169,54 @@ def decode_chunk(data: bytes) -> tuple[list[int], list[int]]:
     return ids, freqs
 
 
+def _read_varbytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers at places of data; at moves behind them."""
+    out, open_, shift = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while len(open_):
+        byte = data[at[open_]].astype(np.int64)
+        out[open_] |= (byte & 127) << shift
+        at[open_] += 1
+        open_, shift = open_[byte < 128], shift + 7
+    return out
+
+
+def decode_chunks(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """decode_chunk() of many chunks side by side, which end at ends: ids, frequencies, and where each chunk's begin, and the end."""
+    raw = np.frombuffer(data, np.uint8)
+    some = np.flatnonzero(np.diff(ends, prepend=0))
+    now = np.r_[0, ends[:-1]][some].astype(np.int64)
+    first, left = _read_varbytes(raw, now), _read_varbytes(raw, now)
+    n = np.zeros(len(ends), np.int64)
+    n[some] = left + 1
+    at = np.r_[0, np.cumsum(n)]
+    ids, begin = np.zeros(at[-1], np.int64), at[:-1][some]
+    items, bits = (np.array(x) for x in zip(*LAYOUTS))
+    place, rows = begin + 1, np.flatnonzero(left)
+    while len(rows):
+        word = np.zeros(len(rows), np.int64)
+        for i in range(4):
+            word |= raw[now[rows] + i].astype(np.int64) << 8 * i
+        selector = word & 15
+        take, width = np.minimum(items[selector], left[rows]), bits[selector]
+        for i in range(int(take.max())):
+            few = np.flatnonzero(take > i)
+            ids[place[rows[few]] + i] = word[few] >> 4 + i * width[few] & (1 << width[few]) - 1
+        now[rows] += 4
+        place[rows] += take
+        left[rows] -= take
+        rows = rows[left[rows] > 0]
+    ids[begin] = first
+    total = np.cumsum(ids)
+    ids = total - np.repeat(total[begin] - first, n[some])
+    freqs, size = np.zeros(at[-1], np.int64), raw[now].astype(np.int64) if len(now) else now
+    place = np.arange(at[-1]) - np.repeat(begin, n[some])
+    size, start = np.repeat(size, n[some]), np.repeat(now + 9, n[some])
+    for i in range(int(size.max(initial=0))):
+        few = np.flatnonzero(size > i)
+        freqs[few] |= raw[start[few] + place[few] * size[few] + i].astype(np.int64) << 8 * i
+    return ids, freqs, at
+
+
 def encode_header(ends: Sequence[int], last_doc_ids: Sequence[int], block_size: int, last_length: int) -> bytes:
     """Var-byte block size, chunk count and last chunk's length; chunk ends as gaps; var-byte last ids."""
     return varbyte(block_size) + varbyte(len(ends)) + varbyte(last_length) + delta(ends, simple9) + b"".join(map(varbyte, last_doc_ids))
@@ -263,7 +314,8 @@ def width(c: Column) -> Column:
 
 
 def varbyte_size(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(width(c) / 7)).cast("long")
+    """A byte for each seven bits begun; ten for a negative number's 64."""
+    return F.when(c < 0, 10).otherwise(sum(((c >= 1 << 7 * i).cast("int") for i in range(1, 9)), F.lit(1))).cast("long")
 
 
 def varbyte_hex(c: Column) -> Column:
@@ -287,9 +339,28 @@ def gap_encoded(posts: DataFrame) -> DataFrame:
     return numbered(posts).select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("prev", F.lit(0))).alias("gap"), "k")
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks of gaps with what the list has before each: the ids."""
+    for b in batches:
+        n = b.column("list").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        gap = b.column("list").flatten().field("gap").to_numpy(zero_copy_only=False)
+        owner, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        total = np.cumsum(gap)
+        before = b.column("total").to_numpy() - b.column("sum").to_numpy()
+        for lo in range(0, len(owner), FLAT):
+            few = owner[lo : lo + FLAT]
+            yield pa.RecordBatch.from_arrays([b.column("term").take(pa.array(few)), pa.array(total[lo : lo + FLAT] - (total[start] - gap[start] - before)[few])], ["term", "doc_id"])
+
+
 def gap_decoded(encoded: DataFrame) -> DataFrame:
-    """term and doc_id of rows of term, k and gap."""
-    return ranges.numbered(encoded.select("term", F.col("k").alias("place"), "gap"), "place", "gap").select("term", F.col("total").alias("doc_id"))
+    """term and doc_id of rows of term, k and gap: chunks of gaps, and the sums of chunks along each list, are what is sorted."""
+    chunk = encoded.withColumn("chunk_no", F.floor((F.col("k") - 1) / CHUNK).cast("long"))
+    sums = gathered(chunk, "gap").withColumn("sum", F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["gap"]))
+    held = written(sums, "gaps")
+    placed = ranges.numbered(held, "chunk_no", "sum")
+    out = map_arrow(placed.select("term", "list", "sum", "total"), _added, "term string, doc_id long")
+    out.shared_path = [held.shared_path, placed.shared_path]
+    return out
 
 
 def list_sizes(posts: DataFrame) -> DataFrame:

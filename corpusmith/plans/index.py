@@ -242,9 +242,33 @@ def shared(spark: SparkSession, corpus: DataFrame, name: str) -> Index:
     return load(spark, _BUILT[key])
 
 
+class _Runs:
+    """Rows (term, chunk_no, k and values) that follow each other in k as one row with a list."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            term, chunk, k = b.column("term"), b.column("chunk_no").to_numpy(), b.column("k").to_numpy()
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (chunk[1:] != chunk[:-1]) | (k[1:] != k[:-1] + 1)
+            start = np.flatnonzero(new)
+            values = pa.StructArray.from_arrays(b.columns[3:], b.schema.names[3:])
+            yield pa.RecordBatch.from_arrays([term.take(pa.array(start)), pa.array(chunk[start]), pa.array(k[start]), pa.ListArray.from_arrays(pa.array(np.r_[start, n].astype(np.int32)), values)], ["term", "chunk_no", "k", "list"])
+
+
+def gathered(rows: DataFrame, *values: str) -> DataFrame:
+    """term, chunk_no and the list of values, by k, of rows of term, chunk_no, k and values (long). What is shuffled is runs of rows, as a sorted table has them."""
+    kind = "array<struct<" + ", ".join(f"{v}: long" for v in values) + ">>"
+    runs = map_arrow(rows.select("term", "chunk_no", "k", *values), _Runs(), f"term string, chunk_no long, k long, list {kind}")
+    parts = F.sort_array(F.collect_list(F.struct("k", "list")))
+    return runs.groupBy("term", "chunk_no").agg(F.flatten(F.transform(parts, lambda x: x["list"])).alias("list"))
+
+
 def packed(posts: DataFrame, size: int = CHUNK) -> DataFrame:
     """term, chunk_no and the chunk's list: ascending (doc_id, tf), size of them at most. A list is as many rows as it has chunks."""
-    return in_chunks(posts, size).groupBy("term", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("list"))
+    return gathered(in_chunks(posts, size), "doc_id", "tf")
 
 
 def in_chunks(posts: DataFrame, size: int = CHUNK) -> DataFrame:

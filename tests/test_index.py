@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from corpusmith.operators import codecs
 from corpusmith.plans import index as ix
 from corpusmith.sources import corpus as sources
 
@@ -59,3 +60,29 @@ def test_pieces_of_many_slices(monkeypatch, rows):
     found = [r for b in ix._Flat().flat(lists.to_batches(max_chunksize=rows)) for r in b.to_pylist()]
     want = sorted((w, int(i), t.count(w), len(t)) for i, t in zip(ids, words) for w in set(t))
     assert [(r["term"], r["doc_id"], r["tf"], r["doc_length"]) for r in found] == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_chunks_decoded_together(seed):
+    """As one by one: widths of frequencies, gaps of any layout, single ids and empty chunks."""
+    rng = np.random.default_rng(seed)
+    data, want = [], []
+    for n in [0, 1, 2, 128, 0, *rng.integers(1, 129, 40)]:
+        ids = np.cumsum(rng.integers(1, 1 << int(rng.integers(1, 28)), n)).tolist()
+        tfs = rng.integers(1, 1 << int(rng.integers(1, 40)), n).tolist()
+        want.append((ids, tfs))
+        data.append(codecs.encode_chunk(ids, tfs) if n else b"")
+    ids, tfs, at = codecs.decode_chunks(b"".join(data), np.cumsum([len(d) for d in data]))
+    assert [(ids[lo:hi].tolist(), tfs[lo:hi].tolist()) for lo, hi in zip(at[:-1], at[1:])] == want == [codecs.decode_chunk(d) for d in data]
+    assert [len(x) for x in codecs.decode_chunks(b"", np.zeros(0, int))] == [0, 0, 1]
+
+
+def test_gaps_along_chunks_and_ranges(spark, monkeypatch):
+    """A list of many chunks in no order gives its ids back; what is sorted is a row a chunk."""
+    ids = {"a": list(range(-7, 4000, 3)), "b": [5], "c": list(range(0, 1 << 40, 1 << 31))}
+    rows = [(t, k + 1, i - (x[k - 1] if k else 0)) for t, x in ids.items() for k, i in enumerate(x)]
+    sorted_rows, numbered = [], codecs.ranges.numbered
+    monkeypatch.setattr(codecs.ranges, "numbered", lambda df, *a: sorted_rows.append(df.count()) or numbered(df, *a))
+    found = codecs.gap_decoded(spark.createDataFrame(rows, "term string, k long, gap long").repartition(5)).collect()
+    assert sorted((r.term, r.doc_id) for r in found) == sorted((t, i) for t, x in ids.items() for i in x)
+    assert sorted_rows == [sum(-(-len(x) // 128) for x in ids.values())]
