@@ -10,16 +10,17 @@ lexicon's cursors are a block's place and a chunk's number in it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions.shared import checked_broadcast, drop_written, written
-from corpusmith.functions.ship import map_arrow, ship
+from corpusmith.functions.ship import map_arrow
 from corpusmith.plans.index import CHUNK, FLAT, packed
 
 from . import codecs as C
@@ -239,23 +240,48 @@ class _Chunks:
 
 def encode_runs(parts: DataFrame, pieces: int = RUN_PARTS) -> DataFrame:
     """run, piece and data: the run codec over the lists of each run, cut in pieces by term. parts: run, term, doc_id, tf."""
-    ship(parts.sparkSession)
-    lists = parts.groupBy("run", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
-    rows = lists.select("run", F.pmod(F.xxhash64("term"), F.lit(pieces)).alias("piece"), "term", "l.doc_id", "l.tf")
+    by = ["run", "piece"]
+    rows = parts.select("run", F.pmod(F.xxhash64("term"), F.lit(pieces)).alias("piece"), "term", "doc_id", "tf").repartition(*by).sortWithinPartitions(*by, "term", "doc_id")
+    return map_arrow(rows, _encode_runs, "run long, piece long, data binary")
+
+
+def _encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by run, piece, term and doc_id: no more is held than a batch and a piece."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        run, piece, term, ids, freqs = rows.columns
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = pc.not_equal(term.slice(1), term.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+        # A document that comes more than once in a run has its counts added.
+        ids = ids.to_numpy()
+        kept = np.flatnonzero(new | (np.diff(ids, prepend=0) != 0))
+        start = np.flatnonzero(new[kept])
+        data = C.encode_run_lists(term.take(pa.array(kept[start])), ids[kept], np.add.reduceat(freqs.to_numpy(), kept), np.r_[start, len(kept)])
+        yield pa.RecordBatch.from_arrays([run.slice(0, 1), piece.slice(0, 1), pa.array([data], pa.binary())], ["run", "piece", "data"])
 
-    def one(key: tuple, held: pa.Table) -> pa.Table:
-        postings: Sequence[C.Posting] = list(zip(*(held.sort_by("term").column(c).to_pylist() for c in ("term", "doc_id", "tf"))))
-        return pa.table({"run": pa.array([key[0].as_py()], pa.int64()), "piece": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([C.encode_run(postings)], pa.binary())})
-
-    return rows.groupBy("run", "piece").applyInArrow(one, "run long, piece long, data binary")
+    for b in batches:
+        if not b.num_rows:
+            continue
+        run, piece = b.column("run").to_numpy(), b.column("piece").to_numpy()
+        cut = [0, *(1 + np.flatnonzero((run[1:] != run[:-1]) | (piece[1:] != piece[:-1]))).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:]):
+            part = b.slice(lo, hi - lo)
+            if held and (held[-1].column("run")[0], held[-1].column("piece")[0]) != (part.column("run")[0], part.column("piece")[0]):
+                yield from out()
+                held = []
+            held.append(part)
+    if held:
+        yield from out()
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for run, data in zip(b.column("run").to_pylist(), b.column("data").to_pylist()):
-            found = C.decode_run(data)
-            rows = [(run, t, i, f) for t, ids, freqs in found for i, f in zip(ids, freqs)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([],) * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["run", "term", "doc_id", "tf"])
+            terms, ids, freqs, at = C.decode_run_lists(data)
+            owner = pa.array(np.repeat(np.arange(len(terms)), np.diff(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run, np.int64)), terms.take(owner), pa.array(ids), pa.array(freqs)], ["run", "term", "doc_id", "tf"])
 
 
 def read_runs(runs: DataFrame) -> DataFrame:

@@ -268,6 +268,112 @@ def decode_run(data: bytes) -> list[Posting]:
     return out
 
 
+def _varbyte_lengths(values: np.ndarray) -> np.ndarray:
+    return 1 + sum((values >= 1 << 7 * i).astype(np.int64) for i in range(1, 9))
+
+
+def _put_varbytes(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Writes numbers at places of out; the places behind them."""
+    size = _varbyte_lengths(values)
+    for i in range(int(size.max(initial=0))):
+        few = np.flatnonzero(size > i)
+        out[at[few] + i] = values[few] >> 7 * i & 127 | np.where(size[few] == i + 1, 128, 0)
+    return at + size
+
+
+def _pack_widths(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes of a value in each packed list of n values; 0 for an empty one."""
+    some = np.flatnonzero(n)
+    top = np.zeros(len(n), np.int64)
+    if len(some):
+        top[some] = np.maximum.reduceat(values, (np.cumsum(n) - n)[some])
+    return np.where(n == 0, 0, np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, np.where(top < 1 << 32, 4, 8))))
+
+
+def _put_packed(out: np.ndarray, at: np.ndarray, values: np.ndarray, n: np.ndarray, width: np.ndarray) -> np.ndarray:
+    out[at] = width
+    some = np.flatnonzero(n)
+    for i in range(8):
+        out[at[some] + 1 + i] = n[some] >> 8 * i & 255
+    size = np.repeat(width, n)
+    place = np.repeat(at + 9, n) + (np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)) * size
+    for i in range(int(width.max(initial=0))):
+        few = np.flatnonzero(size > i)
+        out[place[few] + i] = values[few] >> 8 * i & 255
+    return at + 1 + np.where(n > 0, 8 + n * width, 0)
+
+
+def _read_packed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of values and all values of packed lists; at moves behind them."""
+    width, n = raw[at].astype(np.int64), np.zeros(len(at), np.int64)
+    some = np.flatnonzero(width)
+    for i in range(8):
+        n[some] |= raw[at[some] + 1 + i].astype(np.int64) << 8 * i
+    size = np.repeat(width, n)
+    place = np.repeat(at + 9, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * size
+    values = np.zeros(len(size), np.int64)
+    for i in range(int(width.max(initial=0))):
+        few = np.flatnonzero(size > i)
+        values[few] |= raw[place[few] + i].astype(np.int64) << 8 * i
+    at += 1 + np.where(n > 0, 8 + n * width, 0)
+    return n, values
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places start[i] to start[i] + n[i], one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def encode_run_lists(terms: pa.Array, ids: np.ndarray, freqs: np.ndarray, at: np.ndarray) -> bytes:
+    """encode_run() of lists side by side: those of terms[i] are at[i] to at[i + 1]."""
+    text, n = np.frombuffer(b"".join(x.encode() for x in terms.to_pylist()), np.uint8), np.diff(at)
+    size = np.array([len(x.encode()) for x in terms.to_pylist()], np.int64)
+    first, inner = ids[at[:-1]], np.ones(len(ids), bool)
+    inner[at[:-1]] = False
+    steps = np.diff(ids, prepend=0)[inner]
+    wide, width = _pack_widths(steps, n - 1), _pack_widths(freqs, n)
+    packed = [1 + np.where(m > 0, 8 + m * w, 0) for m, w in ((n - 1, wide), (n, width))]
+    length = _varbyte_lengths(size) + size + _varbyte_lengths(first) + packed[0] + packed[1]
+    start = np.cumsum(length) - length
+    out = np.zeros(length.sum(), np.uint8)
+    now = _put_varbytes(out, start, size)
+    out[_spread(now, size)] = text
+    now = _put_packed(out, _put_varbytes(out, now + size, first), steps, n - 1, wide)
+    _put_packed(out, now, freqs, n, width)
+    m = np.array([max(0, len(start) - 1)])
+    w = _pack_widths(np.diff(start), m)
+    offsets = np.zeros(int(1 + (8 + m * w)[0] if m[0] else 1), np.uint8)
+    _put_packed(offsets, np.zeros(1, np.int64), np.diff(start), m, w)
+    head = varbyte(len(start)) + varbyte(0) + offsets.tobytes() if len(start) else varbyte(0)
+    return struct.pack("<I", len(head)) + head + out.tobytes()
+
+
+def decode_run_lists(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """decode_run() of all lists side by side: terms, ids, frequencies, and where each list's begin, and the end."""
+    (size,) = struct.unpack_from("<I", data)
+    n, at = read_varbyte(data, 4)
+    raw, now = np.frombuffer(data, np.uint8), np.zeros(0, np.int64)
+    if n:
+        base, at = read_varbyte(data, at)
+        _, steps = _read_packed(raw, np.array([at]))
+        now = 4 + size + base + np.r_[0, np.cumsum(steps)]
+    length = _read_varbytes(raw, now)
+    text = raw[_spread(now, length)]
+    now += length
+    first = _read_varbytes(raw, now)
+    _, steps = _read_packed(raw, now)
+    count, freqs = _read_packed(raw, now)
+    at = np.r_[0, np.cumsum(count)]
+    inner = np.ones(at[-1], bool)
+    inner[at[:-1]] = False
+    ids = np.zeros(at[-1], np.int64)
+    ids[inner], ids[at[:-1]] = steps, first
+    total = np.cumsum(ids)
+    ids = total - np.repeat(total[at[:-1]] - first, count)
+    ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes())]), ids, freqs, at
+
+
 LexiconEntry = tuple[str, int, int, int]
 
 

@@ -277,9 +277,17 @@ def in_chunks(posts: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def partial_postings(corpus: DataFrame, run: Column) -> DataFrame:
-    """Postings of each run of documents on its own: run, term, doc_id, tf."""
-    runs = corpus.select(run.cast("long").alias("run"), "doc_id", F.explode(index_terms("content")).alias("term"))
-    return runs.groupBy("run", "term", "doc_id").agg(F.count("*").alias("tf"))
+    """Postings of each run of documents on its own: run, term, doc_id, tf. Each of the corpus's rows is counted in its row."""
+    rows = corpus.select(run.cast("long").alias("run"), "doc_id", index_terms("content").alias("terms"))
+    return map_arrow(rows, _counted_of_runs, "run long, term string, doc_id long, tf long")
+
+
+def _counted_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in _slices(b):
+            names, term, row, tf, _ = _distinct(part)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("run").take(rows), names.take(pa.array(term)), part.column("doc_id").take(rows), pa.array(tf)], ["run", "term", "doc_id", "tf"])
 
 
 def merged(parts: DataFrame) -> DataFrame:

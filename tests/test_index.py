@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
-from corpusmith.operators import codecs
+from corpusmith.operators import blocks, codecs
 from corpusmith.plans import index as ix
 from corpusmith.sources import corpus as sources
 
@@ -86,3 +87,26 @@ def test_gaps_along_chunks_and_ranges(spark, monkeypatch):
     found = codecs.gap_decoded(spark.createDataFrame(rows, "term string, k long, gap long").repartition(5)).collect()
     assert sorted((r.term, r.doc_id) for r in found) == sorted((t, i) for t, x in ids.items() for i in x)
     assert sorted_rows == [sum(-(-len(x) // 128) for x in ids.values())]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_lists_side_by_side(seed):
+    """Byte for byte as list by list."""
+    rng = np.random.default_rng(seed)
+    run = []
+    for t in ["", "é" * 70, *(f"t{i}" for i in range(rng.integers(0, 400)))][seed == 0 and 2 or 0 :]:
+        n = int(rng.integers(1, 9))
+        ids = np.cumsum(rng.integers(1, 1 << int(rng.integers(1, 40)), n)).tolist()
+        run.append((t, ids, rng.integers(1, 1 << int(rng.integers(1, 40)), n).tolist()))
+    at = np.r_[0, np.cumsum([len(x) for _, x, _ in run])].astype(np.int64)
+    flat = [np.array([v for r in run for v in r[k]], np.int64) for k in (1, 2)]
+    data = codecs.encode_run_lists(pa.array([r[0] for r in run], pa.string()), *flat, at)
+    assert data == codecs.encode_run(run)
+    terms, ids, freqs, at = codecs.decode_run_lists(data)
+    assert [(t, ids[lo:hi].tolist(), freqs[lo:hi].tolist()) for t, lo, hi in zip(terms.to_pylist(), at[:-1], at[1:])] == run == codecs.decode_run(data)
+
+
+def test_a_run_adds_a_document_that_comes_twice(spark):
+    corpus = spark.createDataFrame([(1, "u", "a b a"), (1, "u", "a"), (2, "u", "b")], sources.SCHEMA)
+    found = blocks.read_runs(blocks.encode_runs(ix.partial_postings(corpus, F.col("doc_id") * 0)))
+    assert sorted(map(tuple, found.collect())) == [(0, "a", 1, 3), (0, "b", 1, 1), (0, "b", 2, 1)]
