@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmith.functions.shared import written
+from corpusmith.functions.ship import map_arrow
+from corpusmith.functions.tokenize import index_terms
+from corpusmith.plans import index
+
 TF_LIMIT = 10
 
 
@@ -19,6 +29,28 @@ def centroids(vectors: DataFrame, members: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(sizes), "side").select("side", "term", (F.col("w") / F.col("n")).alias("weight"))
 
 
+class _Sums:
+    """Of rows with a side and terms: side, term and the side's occurrences of it, of some documents side by side."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in index.slices(b):
+                names, term, row, tf, _ = index.distinct(part)
+                sides = part.column("side").dictionary_encode()
+                n = max(1, len(names))
+                key, of = np.unique(sides.indices.to_numpy()[row].astype(np.int64) * n + term, return_inverse=True)
+                side, term = np.divmod(key, n)
+                yield pa.RecordBatch.from_arrays([sides.dictionary.take(pa.array(side)), names.take(pa.array(term)), pa.array(np.bincount(of, tf, len(key)))], ["side", "term", "w"])
+
+
+def text_centroids(docs: DataFrame) -> DataFrame:
+    """centroids() of documents (side, content; both without nulls): a pass over the texts, and what is shuffled is sums of slices of documents."""
+    rows = docs.select("side", index_terms("content").alias("terms"))
+    sums = map_arrow(rows, _Sums(), f"side {docs.schema['side'].dataType.simpleString()}, term string, w double").groupBy("side", "term").agg(F.sum("w").alias("w"))
+    sizes = docs.groupBy("side").agg(F.count("*").alias("n"))
+    return sums.join(F.broadcast(sizes), "side").select("side", "term", (F.col("w") / F.col("n")).alias("weight"))
+
+
 def norms(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     return vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
@@ -34,6 +66,62 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select("a", "b", F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("na") * F.col("nb")).alias("cosine"))
 
 
+class _InOrder:
+    """Documents in order, with terms: doc_id, its cosine with the one before (before), and terms of the first and the last, which part's neighbours need."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, first = TaskContext.get().partitionId(), None, True
+        for b in batches:
+            for rows in index.slices(b):
+                now = rows if before is None else pa.Table.from_batches([before, rows]).combine_chunks().to_batches()[0]
+                yield from self.edge(now.slice(0, 1), part) if first else ()
+                first, before = False, now.slice(now.num_rows - 1)
+                yield from self.cosines(now, part)
+        if before is not None:
+            yield from self.edge(before, part)
+
+    @staticmethod
+    def cosines(rows: pa.RecordBatch, part: int) -> Iterator[pa.RecordBatch]:
+        _, term, row, tf, _ = index.distinct(rows)
+        n = rows.num_rows
+        if n < 2:
+            return
+        # Entries are sorted by term and row, so a term that two documents in a row share stands side by side.
+        both = np.flatnonzero((term[1:] == term[:-1]) & (row[1:] == row[:-1] + 1))
+        dot, norm = np.bincount(row[both], tf[both] * tf[both + 1], n)[: n - 1], np.sqrt(np.bincount(row, tf * tf, n))
+        size = norm[:-1] * norm[1:]
+        cosine = pa.array(np.divide(dot, size, out=np.zeros(n - 1), where=size > 0), mask=size == 0)
+        ids = rows.column("doc_id")
+        yield pa.RecordBatch.from_arrays([ids.slice(0, n - 1), ids.slice(1), cosine, pa.array(np.full(n - 1, part)), pa.nulls(n - 1, pa.list_(pa.string()))], ["a", "b", "cosine", "part", "terms"])
+
+    @staticmethod
+    def edge(row: pa.RecordBatch, part: int) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([row.column("doc_id"), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([part]), row.column("terms").cast(pa.list_(pa.string()))], ["a", "b", "cosine", "part", "terms"])
+
+
+def _over_seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the first and last documents of parts, in order: the cosines of those that lie in different parts."""
+    before = None
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1)
+            if before is not None and before.column("part")[0] != row.column("part")[0]:
+                yield from (x.select(["a", "b", "cosine"]) for x in _InOrder.cosines(pa.Table.from_batches([before, row]).combine_chunks().to_batches()[0], 0))
+            before = row
+
+
+def next_cosines(corpus: DataFrame) -> DataFrame:
+    """a, b and cosine of each document with the next by doc_id; null if one has no term. Texts are sorted over ranges, once; of a range's
+    seams two documents pass one task in a stream. Written; drop_written of the result drops it."""
+    texts = corpus.where("doc_id is not null").select("doc_id", "content").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = map_arrow(texts.select("doc_id", index_terms("content").alias("terms")), _InOrder(), "a long, b long, cosine double, part long, terms array<string>")
+    held = written(rows, "cosines")
+    seams = held.where("terms is not null").select(F.col("a").alias("doc_id"), "part", "terms").repartition(1).sortWithinPartitions("doc_id", "part")
+    out = held.where("b is not null").select("a", "b", "cosine").unionByName(map_arrow(seams, _over_seams, "a long, b long, cosine double"))
+    out.shared_path = held.shared_path
+    return out
+
+
 def side_cosines(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """doc_id, side and cosine to each centroid that shares a term with the document."""
     dots = vectors.join(centers.withColumnRenamed("weight", "cw"), "term").groupBy("doc_id", "side").agg(F.sum(F.col("weight") * F.col("cw")).alias("dot"))

@@ -56,7 +56,7 @@ def tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", F.explode(index_terms("content")).alias("term"))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Documents of some SLICE tokens together, so that what is counted side by side has a bound."""
     ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
@@ -66,7 +66,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def _distinct(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents with their terms: the terms, and of each document's distinct ones, by term and row, number of the term, row, tf and length."""
     lists = part.column("terms")
     names = lists.flatten().dictionary_encode()
@@ -80,8 +80,8 @@ def _distinct(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, n
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents with their terms: one row a document and distinct term."""
     for b in batches:
-        for part in _slices(b):
-            names, term, row, tf, length = _distinct(part)
+        for part in slices(b):
+            names, term, row, tf, length = distinct(part)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(term)), part.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(length)], ["term", "doc_id", "tf", "doc_length"])
 
 
@@ -90,8 +90,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("term", pa.string()), ("bucket", pa.int64()), ("df", pa.int64()), ("cf", pa.int64()), ("data", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("url", pa.string()), ("doc_length", pa.int64())])))])
     for b in batches:
         ids = b.column("doc_id").to_numpy()
-        for part in _slices(b if (ids[1:] >= ids[:-1]).all() else b.sort_by("doc_id")):
-            names, term, row, tf, length = _distinct(part)
+        for part in slices(b if (ids[1:] >= ids[:-1]).all() else b.sort_by("doc_id")):
+            names, term, row, tf, length = distinct(part)
             ids = part.column("doc_id").to_numpy()
             if len(term):
                 doc = ids[row]
@@ -284,8 +284,8 @@ def partial_postings(corpus: DataFrame, run: Column) -> DataFrame:
 
 def _counted_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for part in _slices(b):
-            names, term, row, tf, _ = _distinct(part)
+        for part in slices(b):
+            names, term, row, tf, _ = distinct(part)
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays([part.column("run").take(rows), names.take(pa.array(term)), part.column("doc_id").take(rows), pa.array(tf)], ["run", "term", "doc_id", "tf"])
 

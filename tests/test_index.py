@@ -38,8 +38,8 @@ def test_saved_lists(spark, tmp_path, step):
 def test_counting_is_bounded(monkeypatch):
     """However many documents a batch has, what is counted side by side is no more than SLICE tokens or one document."""
     monkeypatch.setattr(ix, "SLICE", 10)
-    seen, distinct = [], ix._distinct
-    monkeypatch.setattr(ix, "_distinct", lambda part: seen.append(part.column("terms").flatten().to_pylist()) or distinct(part))
+    seen, distinct = [], ix.distinct
+    monkeypatch.setattr(ix, "distinct", lambda part: seen.append(part.column("terms").flatten().to_pylist()) or distinct(part))
     words = [["a"] * k for k in (4, 6, 3, 25, 0, 1, 9, 2)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["u"] * 8), pa.array(words)], ["doc_id", "url", "terms"])
     assert sum(sum(b.column("tf").to_pylist()) for b in ix._counted([batch])) == 50
